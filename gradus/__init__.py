@@ -6,6 +6,7 @@ chat prompts, and model completions get rule-based reward columns.
 
 from gradus.functions.registry import batch_reward, register_reward, reward
 from gradus.functions.rewards import ACTIVE, ALL
+from gradus.operators.collect import collect_increment
 from gradus.operators.prompts import build_prompt, render_chat
 from gradus.operators.scoring import (
     group_advantage,
@@ -19,6 +20,7 @@ __all__ = [
     "ALL",
     "batch_reward",
     "build_prompt",
+    "collect_increment",
     "group_advantage",
     "register_reward",
     "render_chat",
