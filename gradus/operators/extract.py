@@ -23,6 +23,10 @@ def _first(elements: Column, rule) -> Column:
     return F.get(F.filter(elements, rule), F.lit(0))
 
 
+def _last(elements: Column, rule) -> Column:
+    return F.get(F.reverse(F.filter(elements, rule)), F.lit(0))
+
+
 def _inside(element: Column) -> Column:
     """Descendants of an element, in document order."""
     return F.slice(_elements(), element["idx"] + 2, element["last"] - element["idx"])
@@ -47,6 +51,13 @@ def _text(element: Column) -> Column:
     )
 
 
+def _computed_once(value: Column) -> Column:
+    """``value``, as a point below which Spark pushes no filter. A pushed filter
+    would repeat the whole computing of ``value``, within lambdas even once per
+    element. Non-deterministic expressions are where pushing stops."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def _outlined(pages: DataFrame, html: str) -> DataFrame:
     kept = [c for c in pages.columns if c != html]
     return pages.select(*kept, page_outline(F.col(html)).alias("__outline"))
@@ -136,7 +147,7 @@ def page_parts(pages: DataFrame, html: str = "html") -> DataFrame:
         F.col("__statement").isNotNull().alias("has_statement"),
         F.col("__english").isNotNull().alias("has_english"),
         F.col("__outline.error").alias("parse_error"),
-        F.transform(F.col("__found"), part).alias("parts"),
+        _computed_once(F.transform(F.col("__found"), part)).alias("parts"),
     )
 
 
@@ -173,9 +184,7 @@ def _readable(part: Column) -> Column:
 
 def _last_of(kind: str) -> Column:
     """The last part of a class; later parts replace earlier ones."""
-    return F.try_element_at(
-        F.filter(F.col("parts"), lambda p: section_class(p) == kind), F.lit(-1)
-    )
+    return _last(F.col("parts"), lambda p: section_class(p) == kind)
 
 
 def description() -> Column:
@@ -296,25 +305,25 @@ def listed_submissions(pages: DataFrame, html: str = "html") -> DataFrame:
             F.col("__rows"),
             lambda r: F.struct(
                 (F.size(F.filter(_inside(r), _tag("th"))) > 0).alias("is_header"),
-                F.try_element_at(F.filter(_inside(r), _tag("td")), F.lit(-1)).alias(
-                    "cell"
-                ),
+                _last(_inside(r), _tag("td")).alias("cell"),
             ),
         ),
     )
     return cells.select(
         *kept,
         F.col("__outline.error").alias("parse_error"),
-        F.transform(
-            F.col("__cells"),
-            lambda c, i: F.struct(
-                i.alias("row_idx"),
-                c["is_header"].alias("is_header"),
-                c["cell"].isNotNull().alias("has_cell"),
-                F.coalesce(
-                    _first(_inside(c["cell"]), _tag("a"))["href"], F.lit("")
-                ).alias("href"),
-            ),
+        _computed_once(
+            F.transform(
+                F.col("__cells"),
+                lambda c, i: F.struct(
+                    i.alias("row_idx"),
+                    c["is_header"].alias("is_header"),
+                    c["cell"].isNotNull().alias("has_cell"),
+                    F.coalesce(
+                        _first(_inside(c["cell"]), _tag("a"))["href"], F.lit("")
+                    ).alias("href"),
+                ),
+            )
         ).alias("rows"),
     )
 

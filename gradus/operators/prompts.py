@@ -44,7 +44,7 @@ def completion_text(completion: str = "completion") -> Column:
 
 def last_content(prompt: str = "prompt") -> Column:
     """Text of the last message; null for an empty array."""
-    return F.try_element_at(F.col(prompt), F.lit(-1))["content"]
+    return F.get(F.reverse(F.col(prompt)), F.lit(0))["content"]
 
 
 def render_chat(
@@ -78,13 +78,19 @@ def length_budget(
 ) -> DataFrame:
     """Add word counts of prompt and completion and flags for those over their
     caps. Words stand in for model tokens, which need the model's tokenizer."""
-    prompt = F.array_join(F.col("prompt")["content"], " ")
-    counted = df.withColumns(
+    # Texts first, so that each is built once for the several looks at it.
+    texts = df.withColumns(
         {
-            "prompt_words": T.word_count(prompt),
-            "completion_words": T.word_count(completion_text()),
+            "__prompt": F.array_join(F.col("prompt")["content"], " "),
+            "__completion": completion_text(),
         }
     )
+    counted = texts.withColumns(
+        {
+            "prompt_words": T.word_count(F.col("__prompt")),
+            "completion_words": T.word_count(F.col("__completion")),
+        }
+    ).drop("__prompt", "__completion")
     return counted.withColumns(
         {
             "prompt_over": F.col("prompt_words") > prompt_cap,

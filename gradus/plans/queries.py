@@ -149,8 +149,8 @@ def description(spark, sf_dir):
 
 @query
 def page_links(spark, sf_dir):
-    links = _pages(spark, sf_dir, F.posexplode(H.link_targets(F.col("html"))))
-    return links.select(
+    links = _pages(spark, sf_dir, F.posexplode_outer(H.link_targets(F.col("html"))))
+    return links.where(F.col("pos").isNotNull()).select(
         "page_id",
         F.col("pos").alias("row_idx"),
         F.col("col").alias("href"),
@@ -189,9 +189,9 @@ def classify_section(spark, sf_dir):
 def pair_samples(spark, sf_dir):
     parsed = X.page_parts(D.problem_pages(spark, sf_dir))
     paired = parsed.select("doc_id", X.sample_candidates().alias("s")).select(
-        "doc_id", F.posexplode(X.pair_samples(F.col("s")))
+        "doc_id", F.posexplode_outer(X.pair_samples(F.col("s")))
     )
-    return paired.select("doc_id", F.col("pos").alias("nth"), "col.input", "col.output")
+    return paired.where(F.col("pos").isNotNull()).select("doc_id", F.col("pos").alias("nth"), "col.input", "col.output")
 
 
 def _records(spark, sf_dir):
