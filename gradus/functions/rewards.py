@@ -224,9 +224,8 @@ def logical_consistency(v: TextViews) -> Column:
     shared = F.size(
         F.array_intersect(T.numbers(v.answer_block_lower), T.numbers(v.reasoning_lower))
     )
-    return F.when(closing, F.lit(1.0)).otherwise(F.lit(0.3)) + F.least(
-        F.lit(1.0), shared * F.lit(0.5)
-    )
+    justified = F.when(closing, F.lit(1.0)).when(v.content.isNotNull(), F.lit(0.3))
+    return justified + F.least(F.lit(1.0), shared * F.lit(0.5))
 
 
 def cp_thinking(v: TextViews) -> Column:
