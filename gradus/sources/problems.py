@@ -56,9 +56,10 @@ def read_problems(
         columnNameOfCorruptRecord=_CORRUPT,
         **options,
     )
-    # Reading stops at the first corrupt record.
-    corrupt = df.where(F.col(_CORRUPT).isNotNull()).select(*df.columns)
-    if corrupt.isEmpty():
+    # Looking stops at the first corrupt record; its text stays where it is.
+    # (Spark wants one more column to be read next to the corrupt text.)
+    corrupt = df.where(F.col(_CORRUPT).isNotNull()).select(schema.fieldNames()[0])
+    if not corrupt.take(1):
         return df.drop(_CORRUPT)
     return spark.createDataFrame([], schema)
 
