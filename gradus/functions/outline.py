@@ -11,13 +11,18 @@ unknown end tags are ignored. An unclosed ``p`` therefore holds what follows it.
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Ship the helper itself to the executors; they need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 OUTLINE = (
     "struct<text:string, error:string, elements:array<struct<"
     "idx:int, last:int, parent:int, tag:string, id:string, "
