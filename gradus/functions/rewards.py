@@ -172,31 +172,33 @@ def cpp_markdown(v: TextViews) -> Column:
     closed = v.content.contains(K.ANSWER_OPEN) & after_open.contains(K.ANSWER_CLOSE)
     inner = T.strip(T.before_first(after_open, K.ANSWER_CLOSE))
 
-    # One-element arrays name intermediate values once: lines, then fence counts.
-    def counted(lines: Column) -> Column:
-        first, last = T.strip(F.get(lines, F.lit(0))), T.strip(F.element_at(lines, -1))
-        stray = F.filter(
-            F.slice(lines, 2, F.size(lines) - 2),
-            lambda line: T.strip(line).isin(K.FENCE, K.CPP_FENCE),
-        )
+    # One-element arrays name intermediate values once: the lines, then the
+    # fences on the first and last. Inner lines are looked at only if both have.
+    def fences(lines: Column) -> Column:
+        first, last = F.get(lines, F.lit(0)), F.element_at(lines, -1)
         return F.when(
             F.size(lines) >= 3,
             F.struct(
                 T.count_of(first, K.CPP_FENCE).alias("start"),
                 T.count_of(last, K.FENCE).alias("end"),
-                F.size(stray).alias("stray"),
+                F.slice(lines, 2, F.size(lines) - 2).alias("inner"),
             ),
         )
 
-    def points(n: Column) -> Column:
-        clean = (n["start"] >= 1) & (n["end"] >= 1)
-        left = F.lit(5.0) - (n["start"] - 1) - (n["end"] - 1) - n["stray"]
-        return F.when(clean, F.greatest(F.lit(0.0), left)).otherwise(F.lit(0.0))
+    def stray(line: Column) -> Column:
+        return line.contains(K.FENCE) & T.strip(line).isin(K.FENCE, K.CPP_FENCE)
 
-    staged = F.transform(
-        F.transform(F.array(T.split_lines(inner, stripped=True)), counted), points
-    )
-    return _award(v.content, closed, F.get(staged, F.lit(0)))
+    def points(n: Column) -> Column:
+        surplus = (n["start"] - 1) + (n["end"] - 1) + F.size(F.filter(n["inner"], stray))
+        return F.when(
+            (n["start"] >= 1) & (n["end"] >= 1),
+            F.greatest(F.lit(0.0), F.lit(5.0) - surplus),
+        ).otherwise(F.lit(0.0))
+
+    lines = T.split_lines(inner, stripped=True)
+    staged = F.transform(F.transform(F.array(lines), fences), points)
+    fenced = v.content.contains(K.CPP_FENCE) & closed
+    return _award(v.content, fenced, F.get(staged, F.lit(0)))
 
 
 # --- Reasoning rewards ---------------------------------------------------------

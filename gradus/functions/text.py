@@ -8,6 +8,7 @@ ends. All stay on the JVM.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -110,14 +111,21 @@ def contains_any(s: Column, terms: Iterable[str]) -> Column:
 
 
 def phrase_hits(s: Column, phrases: Iterable[str]) -> Column:
-    """Sum over ``phrases`` of their occurrences in ``s``.
+    """Sum over the distinct ``phrases`` of their occurrences in ``s``.
 
     ``contains`` looks at the UTF-8 bytes and stops at the first hit; only texts
-    that hold the phrase are decoded and counted.
+    that hold a phrase are decoded and counted. A phrase that includes another
+    listed one is looked for only where the shorter one is.
     """
-    total = F.lit(0)
+    phrases = sorted(dict.fromkeys(phrases), key=len)
+    families: dict[str, list[str]] = {}
     for phrase in phrases:
-        total = total + F.when(s.contains(phrase), count_of(s, phrase)).when(
+        root = next((p for p in phrases if p in phrase), phrase)
+        families.setdefault(root, []).append(phrase)
+    total = F.lit(0)
+    for root, members in families.items():
+        counted = reduce(lambda a, b: a + b, (count_of(s, p) for p in members))
+        total = total + F.when(s.contains(root), counted).when(
             s.isNotNull(), F.lit(0)
         )
     return total
