@@ -45,9 +45,18 @@ def page_language(html: Column) -> Column:
     return F.regexp_extract(html, 'lang="([a-z]+)"', 1)
 
 
+def _up_to_last(html: Column, mark: str) -> Column:
+    """Text up to the last ``mark``. Within it every opening tag has an end to
+    find, so that unclosed ones do not each search the rest of the page."""
+    rest = F.substring_index(html, mark, -1)
+    return F.left(html, F.length(html) - F.length(rest))
+
+
 def paragraphs(html: Column) -> Column:
     """Stripped texts of all ``p``, in order, empty ones kept."""
-    found = F.regexp_extract_all(html, F.lit(_content("p")), F.lit(1))
+    found = F.regexp_extract_all(
+        _up_to_last(html, "</p>"), F.lit(_content("p")), F.lit(1)
+    )
     return F.transform(found, lambda p: T.strip(plain_text(p)))
 
 

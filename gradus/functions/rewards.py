@@ -70,15 +70,20 @@ def strict_format(v: TextViews) -> Column:
 
 
 def soft_format(v: TextViews) -> Column:
-    """Both single-line blocks at the start of the text, then anything."""
-    return _award(
-        v.content,
-        v.content.rlike(
-            rf"\A{K.REASONING_OPEN}[^\n]*?{K.REASONING_CLOSE}[{K.WS}]*"
-            rf"{K.ANSWER_OPEN}[^\n]*?{K.ANSWER_CLOSE}"
-        ),
-        0.5,
+    """Both single-line blocks at the start of the text, then anything.
+
+    The answer begins either on the first line, and then the earliest place that
+    fits leaves the most room for its end, so no other needs trying; or on a
+    later line, and then the reasoning ends its line. Written as these two cases
+    the match takes linear time on any text.
+    """
+    open_r, close_r = K.REASONING_OPEN, K.REASONING_CLOSE
+    same_line = rf"(?>[^\n]*?{close_r}[{K.WS_NOT_NEWLINE}]*+{K.ANSWER_OPEN})"
+    later_line = (
+        rf"[^\n]*{close_r}[{K.WS_NOT_NEWLINE}]*+\n[{K.WS}]*+{K.ANSWER_OPEN}"
     )
+    pattern = rf"\A{open_r}(?:{same_line}|{later_line})[^\n]*?{K.ANSWER_CLOSE}"
+    return _award(v.content, v.content.rlike(pattern), 0.5)
 
 
 def xml_count(v: TextViews) -> Column:

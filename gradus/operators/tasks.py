@@ -200,6 +200,18 @@ def skip_collected_by_key(
     return tasks.join(existing.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def known_among(
+    tasks: DataFrame, existing: DataFrame, keys: Sequence[str] = TASK_KEYS
+) -> DataFrame:
+    """Keys of those ``tasks`` that exist, for few tasks against very many
+    existing records. The tasks are counted; if they are few enough, their keys
+    are broadcast and the existing records are only scanned."""
+    wanted = tasks.select(*keys).distinct()
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    return existing.select(*keys).join(wanted, list(keys), "left_semi").distinct()
+
+
 def one_per_key(
     df: DataFrame, keys: Sequence[str], order: str | None = None
 ) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructType
 
 from gradus.operators.collect import collect_outcomes
+from gradus.operators.tasks import known_among, skip_collected_by_key
 from gradus.sources.problems import read_or_empty
-from gradus.sources.schemas import KEYED_PROBLEM
+from gradus.sources.schemas import KEYED_PROBLEM, TASK_KEYS
 
 STORED = (
     StructType([*KEYED_PROBLEM.fields]).add("error", "string").add("batch_id", LongType())
@@ -25,11 +26,10 @@ def read_collected(spark: SparkSession, target: str) -> DataFrame:
 
 
 def read_failed(spark: SparkSession, target: str) -> DataFrame:
-    """Tasks that could not be read, with the reason."""
+    """Tasks that could not be read so far, with the reason."""
     stored = read_or_empty(spark, target, STORED)
-    return stored.where(F.col("error").isNotNull()).select(
-        "contest_id", "task_id", "error"
-    )
+    failed = stored.where(F.col("error").isNotNull()).select(*TASK_KEYS, "error")
+    return skip_collected_by_key(failed.distinct(), read_collected(spark, target))
 
 
 def collect_stream(
@@ -56,7 +56,9 @@ def collect_stream(
             F.col("error").isNull() & (F.col("batch_id") != batch_id)
         )
         list_pages, submission_pages = lookups(spark)
-        outcomes = collect_outcomes(batch, list_pages, submission_pages, earlier)
+        outcomes = collect_outcomes(
+            batch, list_pages, submission_pages, known_among(batch, earlier)
+        )
         outcomes.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     return (

@@ -1,5 +1,9 @@
 """Hand-written pages, one per branch of the extraction."""
 
+import subprocess
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from gradus.functions.outline import outline
@@ -220,6 +224,21 @@ def test_deep_unclosed_markup_is_linear():
     assert len(o["elements"]) == 1 and o["text"] == "x"
 
 
+def test_helper_travels_without_the_package():
+    code = (
+        "import pickle, sys; f = pickle.load(sys.stdin.buffer); "
+        "print(f('<p>a</p>')['text'], 'gradus' in sys.modules)"
+    )
+    done = subprocess.run(
+        [sys.executable, "-c", code],
+        input=cloudpickle.dumps(outline),
+        capture_output=True,
+        cwd="/",
+        check=True,
+    )
+    assert done.stdout.decode().split() == ["a", "False"]
+
+
 def test_extraction_needs_no_shuffle(spark):
     rows = [("c", "t", page(STATEMENT))]
     df = X.problem_records(X.page_parts(spark.createDataFrame(rows, KEYS)))

@@ -77,6 +77,18 @@ def test_skip_collected_by_key_with_a_hot_key(spark):
     assert left.where("task_id = 'abc2_b'").count() == 0
 
 
+def test_known_among(spark, monkeypatch):
+    tasks = J.task_grid(spark, 1, 3)
+    existing = spark.range(400).select(
+        F.concat(F.lit("abc"), (F.col("id") % 50).cast("string")).alias("contest_id"),
+        F.concat(F.lit("abc"), (F.col("id") % 50).cast("string"), F.lit("_b")).alias("task_id"),
+    )
+    expected = [("abc1", "abc1_b"), ("abc2", "abc2_b"), ("abc3", "abc3_b")]
+    assert rows(J.known_among(tasks, existing), "contest_id", "task_id") == expected
+    monkeypatch.setattr(J, "BROADCAST_ROWS", 2)
+    assert rows(J.known_among(tasks, existing), "contest_id", "task_id") == expected
+
+
 def test_first_accepted_and_filter(spark):
     df = spark.createDataFrame(
         [(1, 5, "AC", "C++", "x"), (1, 3, "WA", "C++", "y"), (1, 4, "AC", "Java", "z"),
