@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructType
 
 from gradus.operators.extract import (
     first_listed,
@@ -15,6 +16,7 @@ from gradus.operators.extract import (
 )
 from gradus.operators.tasks import one_per_key, skip_collected_by_key
 from gradus.session import materialise
+from gradus.sources.problems import read_or_empty
 from gradus.sources.schemas import KEYED_PROBLEM, TASK_KEYS
 
 
@@ -82,3 +84,38 @@ def collect_increment(
     )
     return good
 
+
+
+_STORED = (
+    StructType([*KEYED_PROBLEM.fields]).add("error", "string").add("failed", BooleanType())
+)
+
+
+def stored_records(spark: SparkSession, target: str) -> DataFrame:
+    """Records of a dataset kept by ``collect_into``; none if it does not exist."""
+    stored = read_or_empty(spark, target, _STORED).where(~F.col("failed"))
+    return stored.drop("error", "failed")
+
+
+def stored_failures(spark: SparkSession, target: str) -> DataFrame:
+    """Dead letters of a dataset kept by ``collect_into``, one per failed try."""
+    stored = read_or_empty(spark, target, _STORED).where(F.col("failed"))
+    return stored.select(*TASK_KEYS, "error")
+
+
+def collect_into(
+    target: str,
+    problem_pages: DataFrame,
+    list_pages: DataFrame,
+    submission_pages: DataFrame,
+) -> None:
+    """Add what is new to a stored dataset. Records and dead letters come from
+    one computation and one write, in folders of their own."""
+    existing = stored_records(problem_pages.sparkSession, target)
+    outcomes = collect_outcomes(problem_pages, list_pages, submission_pages, existing)
+    (
+        outcomes.withColumn("failed", F.col("error").isNotNull())
+        .write.partitionBy("failed")
+        .mode("append")
+        .parquet(target)
+    )

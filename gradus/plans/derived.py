@@ -228,7 +228,17 @@ def first_turns(spark: SparkSession, sf_dir: str, role: str, name: str) -> DataF
 
 
 def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Problem = first user turn, solution = first assistant turn."""
-    problems = first_turns(spark, sf_dir, "user", "description")
-    solutions = first_turns(spark, sf_dir, "assistant", "solution")
-    return problems.join(solutions, "conv_id", "inner")
+    """Problem = first user turn, solution = first assistant turn, where there
+    are both. One pass: a turn of another role has no order and never wins."""
+
+    def first(role: str, name: str):
+        own = F.col("role") == role
+        return F.min_by("text", F.when(own, F.col("turn"))).alias(name)
+
+    turns = table(spark, sf_dir, "conversations")
+    return (
+        turns.where(F.col("role").isin("user", "assistant"))
+        .groupBy("conv_id")
+        .agg(first("user", "description"), first("assistant", "solution"))
+        .where("description IS NOT NULL AND solution IS NOT NULL")
+    )

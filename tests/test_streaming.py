@@ -3,7 +3,13 @@
 from pyspark.sql import functions as F
 
 from gradus.functions.rewards import ACTIVE
-from gradus.operators.collect import collect_increment, collect_outcomes
+from gradus.operators.collect import (
+    collect_increment,
+    collect_into,
+    collect_outcomes,
+    stored_failures,
+    stored_records,
+)
 from gradus.operators.scoring import score, total_reward
 from gradus.plans import derived as D
 from gradus.sources.schemas import COMPLETION, KEYED_PROBLEM, TASK_PAGE
@@ -86,6 +92,22 @@ def test_a_repeated_batch_replaces_itself(spark, sf_dir, tmp_path):
     assert run("a") == run("b") != []
 
 
+def test_collect_into_a_stored_dataset(spark, sf_dir, tmp_path):
+    target = str(tmp_path / "dataset")
+    pages = D.problem_pages(spark, sf_dir)
+    assert stored_records(spark, target).count() == 0
+    collect_into(target, pages.where("doc_id % 2 = 0"), *tables(spark, sf_dir))
+    half = stored_records(spark, target).count()
+    collect_into(target, pages, *tables(spark, sf_dir))
+    nothing = spark.createDataFrame([], KEYED_PROBLEM)
+    whole = as_set(collect_increment(pages, *tables(spark, sf_dir), nothing))
+    assert 0 < half < len(whole)
+    assert as_set(stored_records(spark, target)) == whole
+    collect_into(target, pages, *tables(spark, sf_dir))
+    assert stored_records(spark, target).count() == len(whole)
+    assert stored_failures(spark, target).count() > 0
+
+
 def test_collect_skips_known_and_copied_tasks(spark, sf_dir):
     pages = D.problem_pages(spark, sf_dir)
     known = D.existing_tasks(spark, sf_dir)
