@@ -36,3 +36,14 @@ SELECT doc_id, size, source_size, target,
   ((floor(u + i * (target / source_size)) - floor(u + (i - 1) * (target / source_size))) * size)::BIGINT AS taken
 FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source
 """
+
+ORACLES["op7_decontaminate"] = """
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i+4], ' ') FOR i IN range(1, greatest(len(w) - 3, 1))]) AS s FROM dw),
+si AS (SELECT DISTINCT item_id, unnest([array_to_string(w[i:i+4], ' ') FOR i IN range(1, greatest(len(w) - 3, 1))]) AS s FROM iw),
+n AS (SELECT item_id, count(*) AS n_shingles FROM si GROUP BY item_id),
+f AS (SELECT doc_id, item_id, count(*) AS n_found FROM ds JOIN si USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shingles, n_found, n_found::DOUBLE / n_shingles AS containment
+FROM f JOIN n USING (item_id) WHERE 100 * n_found >= 80 * n_shingles
+"""
