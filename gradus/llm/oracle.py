@@ -47,3 +47,15 @@ f AS (SELECT doc_id, item_id, count(*) AS n_found FROM ds JOIN si USING (s) GROU
 SELECT doc_id, item_id, n_shingles, n_found, n_found::DOUBLE / n_shingles AS containment
 FROM f JOIN n USING (item_id) WHERE 100 * n_found >= 80 * n_shingles
 """
+
+ORACLES["op1_substring_dedup"] = """
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+win AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM d),
+k AS (SELECT win.doc_id, i, array_to_string(w[i:i+12], ' ') AS s FROM win JOIN d USING (doc_id)),
+m AS (SELECT s, min(doc_id) AS least FROM k GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM k JOIN m USING (s) WHERE least < doc_id),
+g AS (SELECT doc_id, list(i) AS cut FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(cut), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN cut IS NULL THEN w ELSE [x FOR x, j IN w IF NOT list_contains(cut, j)] END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
