@@ -1,15 +1,17 @@
 """Find equal keys in different documents without a row per key.
 
 A task packs the keys of a block of documents by bucket of the key: one row per
-block and bucket, with arrays of owners, keys and item numbers. A shuffle brings a
-bucket together; the items that match are sent back to their documents as item
-numbers. Before the shuffle each block keeps one item per key, so a key that most
-documents hold costs one item per block; what a block can settle alone goes along
-as a bit mask.
+block and bucket, with arrays of owners and keys. A shuffle brings a bucket
+together; the keys that match are sent back to their documents. Before the shuffle
+each block keeps one item per key, so a key that most documents hold costs one item
+per block; what a block can settle alone goes along as a bit mask.
 
 An owner is a document row: its id (which orders owners; null is the largest) and
-a hash of its text. Rows equal in both get equal results. An item that comes back
-stands for all items of its document with an equal key.
+a hash of its text. Rows equal in both get equal results. A key that comes back
+stands for all items of its document that have it.
+
+Without ``checks`` only 32 bits of a key are sent, beside its bucket: a filter with
+few false matches. With ``checks`` the 64 bits of the key and 32 more are compared.
 """
 
 from __future__ import annotations
@@ -18,17 +20,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradus.llm.blocks import mix
+
 NULL_ID = np.iinfo(np.int64).max
 
 PACKED = (
     "bucket int, ids binary, hashes binary, counts binary, keys binary, "
-    "checks binary, items binary, mask binary"
+    "checks binary, mask binary"
 )
 _NAMES = [x.split()[0] for x in PACKED.split(", ")]
-FLAGS = "id bigint, hash bigint, items binary, mask binary"
+FLAGS = "id bigint, hash bigint, keys binary, mask binary"
 _FLAG_NAMES = [x.split()[0] for x in FLAGS.split(", ")]
 
 #: Items are sent back where the key is held by two documents, or by an earlier one.
@@ -55,15 +60,29 @@ def _groups(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _judge(order, starts, ids, mode):
+def _judge(order: np.ndarray, starts: np.ndarray, ids: np.ndarray, mode: str):
     """Of the items in order: is it settled, and its key's least id."""
+    if not len(order):
+        return np.zeros(0, bool), ids
     sizes = np.diff(np.append(starts, len(order)))
-    s = ids[order]
-    least = np.repeat(np.minimum.reduceat(s, starts), sizes)
+    ids = ids[order]
+    least = np.repeat(np.minimum.reduceat(ids, starts), sizes)
     if mode == LATER:
-        return s > least, least
-    most = np.repeat(np.maximum.reduceat(s, starts), sizes)
-    return most > least, least
+        return ids > least, least
+    return np.repeat(np.maximum.reduceat(ids, starts), sizes) > least, least
+
+
+def _sorted(keys: np.ndarray, checks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Order in which equal keys (and checks) stand together; where each begins."""
+    order = np.argsort(keys)
+    starts = _groups(order, keys)
+    if checks is not None:
+        both = _groups(order, keys, checks)
+        if len(both) > len(starts):  # equal keys with different checks
+            order = np.lexsort((checks, keys))
+            starts = _groups(order, keys, checks)
+        # otherwise the checks agree wherever the keys do
+    return order.astype(np.int32), starts
 
 
 def pack(
@@ -79,7 +98,7 @@ def pack(
     """Rows of ``PACKED`` for one block.
 
     ``first``: each document's first entry in ``keys``. ``items``: number of each
-    key in its document (default: in order).
+    key's item in its document, for the mask (default: in order).
     """
     n = len(keys)
     if not n:
@@ -87,7 +106,6 @@ def pack(
     owner = np.repeat(np.arange(len(ids)), np.diff(first))
     if items is None:
         items = np.arange(n) - first[:-1][owner]
-    items = items.astype(np.int32)
     order = np.argsort(keys, kind="stable")
     starts = _groups(order, keys)
     done, least = _judge(order, starts, ids[owner], mode)
@@ -116,7 +134,6 @@ def pack(
             "checks": checks[part].astype(np.uint32).tobytes()
             if checks is not None
             else None,
-            "items": items[part].tobytes(),
             "mask": None,
         }
     for d in np.unique(owner[settled]):
@@ -130,7 +147,6 @@ def pack(
             "counts": None,
             "keys": None,
             "checks": None,
-            "items": None,
             "mask": np.packbits(bits).tobytes(),
         }
 
@@ -143,7 +159,7 @@ def bucket_of(keys: np.ndarray, n_buckets: int) -> np.ndarray:
 
 def packed_batches(rows: Iterator[dict], at_once: int = 256) -> Iterator[pa.RecordBatch]:
     held: list[dict] = []
-    kinds = [pa.int32()] + [pa.binary()] * 7
+    kinds = [pa.int32()] + [pa.binary()] * 6
     for row in rows:
         held.append(row)
         if len(held) == at_once:
@@ -160,60 +176,50 @@ def _batch(rows: list[dict], names: list[str], kinds: list) -> pa.RecordBatch:
     )
 
 
-def _joined(column: pa.Array, kind) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), kind) for x in column if x.is_valid]
-
-
-def _flat(parts: list[np.ndarray], kind) -> np.ndarray:
+def _flat(column: pa.ChunkedArray, kind) -> np.ndarray:
+    parts = [np.frombuffer(x.as_buffer(), kind) for x in column]
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
 def _matcher(mode: str):
     def match(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        is_mask = np.array([x.is_valid for x in group["mask"]], bool)
-        masks = group.filter(pa.array(is_mask))
-        rows = group.filter(pa.array(~is_mask))
-        ids = _flat(_joined(rows["ids"], np.int64), np.int64)
-        hashes = _flat(_joined(rows["hashes"], np.int64), np.int64)
-        counts = _flat(_joined(rows["counts"], np.int32), np.int32)
-        items = _flat(_joined(rows["items"], np.int32), np.int32)
-        checks = _joined(rows["checks"], np.uint32)
-        exact = bool(checks)
-        kind = np.uint64 if exact else np.uint32
-        keys = _flat(_joined(rows["keys"], kind), kind)
-        owner = np.repeat(np.arange(len(ids)), counts)
+        is_mask = pc.is_valid(group["mask"])
+        masks, rows = group.filter(is_mask), group.filter(pc.invert(is_mask))
+        del group
+        ids = _flat(rows["ids"], np.int64)
+        hashes = _flat(rows["hashes"], np.int64)
+        counts = _flat(rows["counts"], np.int32)
+        exact = bool(len(rows)) and rows["checks"][0].is_valid
+        keys = _flat(rows["keys"], np.uint64 if exact else np.uint32)
+        checks = _flat(rows["checks"], np.uint32) if exact else None
+        del rows
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
         out = {
-            "id": _flat(_joined(masks["ids"], np.int64), np.int64),
-            "hash": _flat(_joined(masks["hashes"], np.int64), np.int64),
-            "items": [None] * len(masks),
+            "id": _flat(masks["ids"], np.int64),
+            "hash": _flat(masks["hashes"], np.int64),
+            "keys": [None] * len(masks),
             "mask": masks["mask"].to_pylist(),
         }
         if len(keys):
-            if exact:
-                checks = _flat(checks, np.uint32)
-                order = np.lexsort((checks, keys))
-                starts = _groups(order, keys, checks)
-            else:
-                order = np.argsort(keys, kind="stable")
-                starts = _groups(order, keys)
-            done, _ = _judge(order, starts, ids[owner], mode)
+            order, starts = _sorted(keys, checks)
+            del checks
+            # Ranks compare like ids and take less room.
+            rank = np.unique(ids, return_inverse=True)[1].astype(np.int32)
+            done, _ = _judge(order, starts, rank[owner], mode)
             hit = np.sort(order[done])
             who = owner[hit]
-            cuts = _groups(np.arange(len(who)), who) if len(who) else np.zeros(0, int)
-            back = [
-                items[hit[a:b]].tobytes()
-                for a, b in zip(cuts, np.append(cuts[1:], len(hit)), strict=True)
-            ]
+            cuts = _groups(np.arange(len(who)), who)
+            ends = np.append(cuts, len(hit))[1:]
+            back = [keys[hit[a:b]].tobytes() for a, b in zip(cuts, ends, strict=True)]
             out["id"] = np.concatenate([out["id"], ids[who[cuts]]])
             out["hash"] = np.concatenate([out["hash"], hashes[who[cuts]]])
-            out["items"] = out["items"] + back
+            out["keys"] = out["keys"] + back
             out["mask"] = out["mask"] + [None] * len(back)
         return pa.table(
             [
                 pa.array(out["id"], pa.int64()),
                 pa.array(out["hash"], pa.int64()),
-                pa.array(out["items"], pa.binary()),
+                pa.array(out["keys"], pa.binary()),
                 pa.array(out["mask"], pa.binary()),
             ],
             _FLAG_NAMES,
@@ -226,7 +232,7 @@ def flags(packed: DataFrame, mode: str) -> DataFrame:
     """``id, hash, flags``: per document the parts that ``read_flags`` puts together."""
     found = packed.groupBy("bucket").applyInArrow(_matcher(mode), FLAGS)
     return found.groupBy("id", "hash").agg(
-        F.collect_list(F.struct("items", "mask")).alias("flags")
+        F.collect_list(F.struct("keys", "mask")).alias("flags")
     )
 
 
@@ -236,24 +242,31 @@ def with_flags(docs: DataFrame, flagged: DataFrame) -> DataFrame:
     return docs.join(flagged.hint("shuffle_hash"), ["id", "hash"], "left")
 
 
-def read_flags(flags: pa.Array, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The flags of a block's items as one array; ``first`` is each document's
-    first place in it, ``sizes`` the number of its items."""
-    out = np.zeros(int(first[-1]), bool)
+def read_flags(
+    flags: pa.Array, keys: np.ndarray, first: np.ndarray, short: bool
+) -> np.ndarray:
+    """Which of a block's items are flagged. ``first``: each document's first entry
+    in ``keys``; ``short``: the keys were sent without checks."""
+    out = np.zeros(len(keys), bool)
+    kind = np.uint32 if short else np.uint64
+    back, whose = [], []
     for d, parts in enumerate(flags.to_pylist()):
         for part in parts or ():
-            if part["items"] is not None:
-                out[first[d] + np.frombuffer(part["items"], np.int32)] = True
+            if part["keys"] is not None:
+                back.append(np.frombuffer(part["keys"], kind))
+                whose.append(np.full(len(back[-1]), d))
             if part["mask"] is not None:
                 bits = np.unpackbits(np.frombuffer(part["mask"], np.uint8))
-                bits = bits[: sizes[d]]
+                bits = bits[: first[d + 1] - first[d]]
                 out[first[d] : first[d] + len(bits)] |= bits.astype(bool)
+    if back:
+        owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        mine = keys.astype(kind).astype(np.uint64)
+        sent = np.concatenate(back).astype(np.uint64)
+        out |= np.isin(_own(mine, owner), _own(sent, np.concatenate(whose)))
     return out
 
 
-def spread_flags(
-    flagged: np.ndarray, keys: np.ndarray, owner: np.ndarray
-) -> np.ndarray:
-    """Flag every item whose key is flagged elsewhere in its document."""
-    own = keys * np.uint64(0x9E3779B97F4A7C15) + owner.astype(np.uint64)
-    return flagged | np.isin(own, own[flagged])
+def _own(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Keys told apart by document."""
+    return mix(keys ^ (owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))

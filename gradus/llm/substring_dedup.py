@@ -38,7 +38,7 @@ from gradus.llm.blocks import blocks, mix, owners, range_names, seeded, windows
 from gradus.llm.common import buckets_for, text_bytes
 
 WINDOW = 13
-ROUNDS = ("runs", "pairs", "pairs")
+ROUNDS = ("runs", "pairs", "pairs", "pairs")
 #: Bytes of text whose keys one bucket holds.
 BUCKET_BYTES = 48 << 20
 
@@ -140,8 +140,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int, n_buckets: int)
             found = symbols(names, first, window)
             place = _first_of(found.text, n)
             part = batch.column("flags").slice(block.lo, n)
-            shared = M.read_flags(part, np.diff(place), place)
-            shared = M.spread_flags(shared, found.names, found.text)
+            shared = M.read_flags(part, found.names, place, True)
             # A window at i holds symbols with low >= i and high <= i + window.
             single = ~shared
             barred = np.zeros(len(names) + 1, np.int64)
@@ -172,8 +171,8 @@ def _covered(block, flags: pa.Array, window: int):
     """Words of a block, and which of them are removed."""
     starts, ends, first = block.words()
     keys, at = windows(range_names(block.data, starts, ends), first, window)
-    hit = M.read_flags(flags, np.diff(first), first)
-    hit = M.spread_flags(hit[at], keys, owners(first)[at])
+    place = _first_of(owners(first)[at], len(first) - 1)
+    hit = M.read_flags(flags, keys, place, False)
     cover = np.zeros(len(starts) + 1, np.int64)
     np.add.at(cover, at[hit], 1)
     np.add.at(cover, at[hit] + window, -1)
@@ -201,9 +200,12 @@ def _results(batches: Iterator[pa.RecordBatch], names: list[str], text_at: int |
                 digests.append(hashlib.sha256(kept).hexdigest())
                 if text_at is not None:
                     texts.append((kept if count else raw).decode())
-            columns = [part.column(i + 4) for i in range(len(names))]
-            if text_at is not None:
-                columns[text_at] = pa.array(texts, pa.string())
+            # A null text stays null.
+            null = np.asarray(part.column("text").is_null())
+            columns = [
+                pa.array(texts, pa.string(), mask=null) if i == text_at else part.column(n)
+                for i, n in enumerate(names)
+            ]
             columns += [
                 pa.array(np.diff(first), pa.int64()),
                 pa.array(removed, pa.int64()),
@@ -214,29 +216,32 @@ def _results(batches: Iterator[pa.RecordBatch], names: list[str], text_at: int |
             )
 
 
-def repeated(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """Texts by owner, and the windows of each to remove."""
-    n_buckets = buckets_for(text_bytes(docs), BUCKET_BYTES)
-    texts = M.owned(docs, F.col("text").cast("string").alias("text"))
-    found = texts.mapInArrow(
+def _repeated(texts: DataFrame, n_buckets: int, window: int) -> DataFrame:
+    """The windows of each text to remove."""
+    found = texts.select("id", "hash", "text").mapInArrow(
         lambda it: M.packed_batches(_symbol_rows(it, window, n_buckets)), M.PACKED
     )
     shared = M.with_flags(texts, M.flags(found, M.SHARED))
     found = shared.mapInArrow(
         lambda it: M.packed_batches(_window_rows(it, window, n_buckets)), M.PACKED
     )
-    return texts, M.flags(found, M.LATER)
+    return M.flags(found, M.LATER)
 
 
-def _finished(docs: DataFrame, flagged: DataFrame, columns: list[str], rewrite: bool, window: int):
-    # The texts as before, so that Spark can use their shuffle again.
+def _cut(docs: DataFrame, columns: list[str], rewrite: bool, window: int) -> DataFrame:
+    """``columns`` as ``c0``, ``c1``, ... and the result columns. Both joins take the
+    same columns, so that Spark shuffles the texts once."""
     names = [f"c{i}" for i in range(len(columns))]
     extra = [F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)]
+    n_buckets = buckets_for(text_bytes(docs), BUCKET_BYTES)
+    if rewrite:  # the text is there already
+        extra.pop(columns.index("text"))
     texts = M.owned(docs, F.col("text").cast("string").alias("text"), *extra)
-    joined = M.with_flags(texts, flagged).select("id", "hash", "text", "flags", *names)
-    kinds = [docs.schema[c].dataType for c in columns]
+    joined = M.with_flags(texts, _repeated(texts, n_buckets, window))
     at = columns.index("text") if rewrite else None
-    fields = [T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]
+    fields = [
+        T.StructField(n, docs.schema[c].dataType) for c, n in zip(columns, names, strict=True)
+    ]
     schema = T.StructType(
         fields
         + [
@@ -251,8 +256,7 @@ def _finished(docs: DataFrame, flagged: DataFrame, columns: list[str], rewrite:
 def removed_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of every row."""
     slim = docs.select("doc_id", "text")
-    _, flagged = repeated(slim, window)
-    out = _finished(slim, flagged, ["doc_id"], False, window)
+    out = _cut(slim, ["doc_id"], False, window)
     return out.withColumnRenamed("c0", "doc_id")
 
 
@@ -261,8 +265,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     such words stay as they are, and rows left without words go. ``n_chars``
     follows the text."""
     columns = docs.columns
-    _, flagged = repeated(docs.select("doc_id", "text"), window)
-    out = _finished(docs, flagged, columns, True, window)
+    out = _cut(docs, columns, True, window)
     out = out.where("n_removed = 0 OR n_removed < n_words")
     out = out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))
     if "n_chars" in columns:
