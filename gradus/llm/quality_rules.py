@@ -295,3 +295,19 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     return text_stats(docs).withColumn("base_failed", base_failed()).withColumn(
         "kept", ~F.col("base_failed") & verdict(rules)
     )
+
+
+def keep(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows that are kept, with all their columns. The counts stand in a column
+    beside them for the time of the pass, so nothing is joined or shuffled."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    held = docs.select(
+        F.struct(
+            *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True))
+        ).alias("row"),
+        F.col("text"),
+    )
+    judged = text_stats(held, "row").where(~base_failed() & verdict(rules))
+    return judged.select(
+        *(F.col(f"row.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True))
+    )
