@@ -36,8 +36,9 @@ _NAMES = [x.split()[0] for x in PACKED.split(", ")]
 FLAGS = "id bigint, hash bigint, keys binary, mask binary"
 _FLAG_NAMES = [x.split()[0] for x in FLAGS.split(", ")]
 
-#: Items are sent back where the key is held by two documents, or by an earlier one.
-SHARED, LATER = "shared", "later"
+#: Items are sent back where the key is held by two documents, by an earlier one, or
+#: by any other item.
+SHARED, LATER, TWICE = "shared", "later", "twice"
 
 
 def owned(docs: DataFrame, *columns: str) -> DataFrame:
@@ -67,6 +68,8 @@ def _judge(order: np.ndarray, starts: np.ndarray, ids: np.ndarray, mode: str):
     sizes = np.diff(np.append(starts, len(order)))
     ids = ids[order]
     least = np.repeat(np.minimum.reduceat(ids, starts), sizes)
+    if mode == TWICE:
+        return np.repeat(sizes > 1, sizes), least
     if mode == LATER:
         return ids > least, least
     return np.repeat(np.maximum.reduceat(ids, starts), sizes) > least, least
@@ -260,10 +263,15 @@ def read_flags(
                 bits = bits[: first[d + 1] - first[d]]
                 out[first[d] : first[d] + len(bits)] |= bits.astype(bool)
     if back:
+        # Only the texts that got keys back.
+        whose = np.concatenate(whose)
+        got = np.zeros(len(first) - 1, bool)
+        got[whose] = True
         owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        mine = keys.astype(kind).astype(np.uint64)
+        at = np.flatnonzero(got[owner])
+        mine = keys[at].astype(kind).astype(np.uint64)
         sent = np.concatenate(back).astype(np.uint64)
-        out |= np.isin(_own(mine, owner), _own(sent, np.concatenate(whose)))
+        out[at] |= np.isin(_own(mine, owner[at]), _own(sent, whose))
     return out
 
 
