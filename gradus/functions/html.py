@@ -11,8 +11,22 @@ from pyspark.sql import functions as F
 
 from gradus.functions import text as T
 
-# Entities decoded here, ``&amp;`` last.
+# Named entities decoded here, ``&amp;`` last. Numbered ones are
+# decoded by their number.
 ENTITIES = (
+    ("&nbsp;", "\xa0"),
+    ("&apos;", "'"),
+    ("&hellip;", "…"),
+    ("&ndash;", "–"),
+    ("&mdash;", "—"),
+    ("&lsquo;", "‘"),
+    ("&rsquo;", "’"),
+    ("&ldquo;", "“"),
+    ("&rdquo;", "”"),
+    ("&le;", "≤"),
+    ("&ge;", "≥"),
+    ("&ne;", "≠"),
+    ("&times;", "×"),
     ("&lt;", "<"),
     ("&gt;", ">"),
     ("&quot;", '"'),
@@ -24,14 +38,34 @@ ENTITIES = (
 
 def plain_text(markup: Column) -> Column:
     """Markup without tags, entities decoded."""
-    out = F.regexp_replace(markup, "<[^>]*>", "")
+    out = _numbered(F.regexp_replace(markup, "<[^>]*>", ""))
     for entity, char in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
     return out
 
 
+def _numbered(text: Column) -> Column:
+    """Numbered entities as their characters; each distinct one is replaced once."""
+    found = F.regexp_extract_all(text, F.lit(r"(&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)"), F.lit(1))
+
+    def char(entity: Column) -> Column:
+        digits = F.regexp_extract(entity, "([0-9a-fA-F]+);", 1)
+        decimal = ~F.lower(entity).startswith("&#x")
+        code = F.when(decimal, F.conv(digits, 10, 16)).otherwise(digits)
+        legal = F.conv(code, 16, 10).cast("int").between(1, 0x10FFFF)
+        return F.when(
+            legal, F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+        ).otherwise(entity)
+
+    decoded = F.aggregate(
+        F.array_distinct(found), text, lambda acc, e: F.replace(acc, e, char(e))
+    )
+    return F.when(F.contains(text, F.lit("&#")), decoded).otherwise(text)
+
+
 def _content(tag: str) -> str:
-    return rf"(?s)<{tag}>(.*?)</{tag}>"
+    """A tag in any case, with or without attributes."""
+    return rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"
 
 
 def page_title(html: Column, tag: str = "title") -> Column:
@@ -41,25 +75,30 @@ def page_title(html: Column, tag: str = "title") -> Column:
 
 
 def page_language(html: Column) -> Column:
-    """Value of the first ``lang`` attribute; '' if absent."""
-    return F.regexp_extract(html, 'lang="([a-z]+)"', 1)
+    """Language of the first ``lang`` attribute, without its region, in lower case;
+    '' if absent."""
+    pattern = r"""(?is)<[a-z][^>]*\slang\s*=\s*["']?([a-z]+)"""
+    return F.lower(F.regexp_extract(html, pattern, 1))
 
 
-def _up_to_last(html: Column, mark: str) -> Column:
-    """Text up to the last ``mark``. Within it every opening tag has an end to
+def _up_to_last(html: Column, tag: str) -> Column:
+    """Text up to the last end of ``tag``. Within it every opening tag has an end to
     find, so that unclosed ones do not each search the rest of the page."""
-    rest = F.substring_index(html, mark, -1)
-    return F.left(html, F.length(html) - F.length(rest))
+    return F.regexp_extract(html, rf"(?is)\A(.*</{tag}\s*>)", 1)
 
 
 def paragraphs(html: Column) -> Column:
     """Stripped texts of all ``p``, in order, empty ones kept."""
     found = F.regexp_extract_all(
-        _up_to_last(html, "</p>"), F.lit(_content("p")), F.lit(1)
+        _up_to_last(html, "p"), F.lit(_content("p")), F.lit(1)
     )
     return F.transform(found, lambda p: T.strip(plain_text(p)))
 
 
 def link_targets(html: Column) -> Column:
     """Targets of all links, in order."""
-    return F.regexp_extract_all(html, F.lit('<a href="([^"]*)">'), F.lit(1))
+    pattern = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    double = F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
+    single = F.regexp_extract_all(html, F.lit(pattern), F.lit(2))
+    # Of the two kinds of quotes one is empty; entities stay as they are.
+    return F.zip_with(double, single, lambda a, b: F.concat(a, b))

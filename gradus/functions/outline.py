@@ -2,11 +2,13 @@
 
 The helper only tokenises. It gives, per page, the visible text and one entry
 per element of interest; an entry knows where its descendants end and which
-stretch of the text is its own. Everything else (finding sections, pairing
+pieces of the text are its own. Everything else (finding sections, pairing
 samples, picking submissions) is done by Spark on these arrays.
 
 Open tags are closed by the matching end tag or by the end tag of an ancestor;
-unknown end tags are ignored. An unclosed ``p`` therefore holds what follows it.
+unknown end tags are ignored. An unclosed ``p`` therefore holds what follows it, so
+text that many of them hold is repeated for each: a page with more than
+``MOST_OPEN`` of them open at once is an error.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 OUTLINE = (
-    "struct<text:string, error:string, elements:array<struct<"
+    "struct<pieces:array<string>, error:string, elements:array<struct<"
     "idx:int, last:int, parent:int, tag:string, id:string, "
     "classes:array<string>, href:string, lo:int, hi:int>>>"
 )
@@ -42,7 +44,7 @@ _ELEMENT = pa.struct(
     ]
 )
 _OUTLINE = pa.struct(
-    [("text", pa.string()), ("error", pa.string()), ("elements", pa.list_(_ELEMENT))]
+    [("pieces", pa.list_(pa.string())), ("error", pa.string()), ("elements", pa.list_(_ELEMENT))]
 )
 
 # Elements kept, elements without content, elements whose text is
@@ -56,6 +58,8 @@ SILENT = frozenset("script style template rt rp".split())
 PREFORMATTED = frozenset(("pre", "textarea"))
 ASCII_BLANKS = " \n\t\f\r"
 
+MOST_OPEN = 64
+
 
 class _Outline(HTMLParser):
     def __init__(self):
@@ -65,7 +69,8 @@ class _Outline(HTMLParser):
         self.elements: list[dict] = []
         self.pieces: list[str] = []
         self.pending: list[str] = []
-        self.length = self.serial = 0
+        self.serial = 0
+        self.error: str | None = None
 
     def within(self, tags) -> bool:
         return any(self.depth[tag] for tag in tags)
@@ -77,7 +82,6 @@ class _Outline(HTMLParser):
         if not data.strip(ASCII_BLANKS) and not self.within(PREFORMATTED):
             data = "\n" if "\n" in data else " "
         self.pieces.append(data)
-        self.length += len(data)
 
     def handle_data(self, data):
         self.pending.append(data)
@@ -95,12 +99,14 @@ class _Outline(HTMLParser):
                 "id": values.get("id"),
                 "classes": values.get("class", "").split(),
                 "href": values.get("href"),
-                "lo": self.length,
+                "lo": len(self.pieces),
             }
             self.elements.append(entry)
         if tag not in VOID:
             self.open.append((tag, entry, self.serial))
             self.depth[tag] += 1
+            if tag == "p" and self.depth[tag] > MOST_OPEN:
+                self.error = f"more than {MOST_OPEN} paragraphs within one another"
 
     def handle_endtag(self, tag):
         self.flush()
@@ -112,7 +118,7 @@ class _Outline(HTMLParser):
         tag, entry, _ = self.open.pop()
         self.depth[tag] -= 1
         if entry is not None:
-            entry["last"], entry["hi"] = len(self.elements) - 1, self.length
+            entry["last"], entry["hi"] = len(self.elements) - 1, len(self.pieces)
         return tag
 
     def unknown_decl(self, data):
@@ -130,7 +136,13 @@ class _Outline(HTMLParser):
         self.flush()
         while self.open:
             self.close_top()
-        return {"text": "".join(self.pieces), "error": None, "elements": self.elements}
+        if self.error:
+            return failed(self.error)
+        return {"pieces": self.pieces, "error": None, "elements": self.elements}
+
+
+def failed(reason: str) -> dict:
+    return {"pieces": [], "error": reason, "elements": []}
 
 
 def outline(html: str | None) -> dict | None:
@@ -142,7 +154,7 @@ def outline(html: str | None) -> dict | None:
         parser.feed(html)
         parser.close()
     except AssertionError as error:  # the tokeniser's way to reject markup
-        return {"text": None, "error": f"markup rejected: {error}", "elements": []}
+        return failed(f"markup rejected: {error}")
     return parser.finish()
 
 

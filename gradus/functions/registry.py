@@ -60,7 +60,7 @@ def batch_reward(
     """Run an existing Python reward over Arrow batches.
 
     ``func(prompts, completions, answer, **columns) -> list[float]`` gets plain
-    lists aligned by row, one call per Arrow batch. Use it for rules that need
+    lists aligned by row, one call per Arrow batch; a reward of None is null. Use it for rules that need
     Python; the built-in rewards do not.
     """
     names = ("prompts", "completions", "answer", *columns)
@@ -70,6 +70,10 @@ def batch_reward(
         import pyarrow as pa
 
         batch = {n: a.to_pylist() for n, a in zip(names, arrays)}
-        return pa.array([float(x) for x in func(**batch)], type=pa.float64())
+        values = list(func(**batch))
+        if len(values) != len(arrays[0]):
+            raise ValueError(f"{len(values)} rewards for {len(arrays[0])} completions")
+        floats = [None if x is None else float(x) for x in values]
+        return pa.array(floats, type=pa.float64())
 
     return run(prompts, completions, answer, *columns.values())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructType
@@ -14,34 +16,51 @@ from gradus.operators.extract import (
     quarantine,
     submission_code,
 )
-from gradus.operators.tasks import one_per_key, skip_collected_by_key
+from gradus.operators.tasks import (
+    CONTEST_PREFIX,
+    one_per_key,
+    skip_collected,
+    skip_collected_by_key,
+)
 from gradus.session import materialise
 from gradus.sources.problems import read_or_empty
 from gradus.sources.schemas import KEYED_PROBLEM, TASK_KEYS
 
 
+Skip = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def skip_pages_by_title(
+    pages: DataFrame, existing: DataFrame, prefix: str | Sequence[str] = CONTEST_PREFIX
+) -> DataFrame:
+    """Pages whose task no existing title names; the letter ends the task id."""
+    letter = F.substring_index("task_id", "_", -1)
+    return skip_collected(pages.withColumn("letter", letter), existing, prefix).drop(
+        "letter"
+    )
+
+
 def solutions_for(
     tasks: DataFrame, list_pages: DataFrame, submission_pages: DataFrame
 ) -> DataFrame:
     """First accepted solution of each task: (contest_id, task_id, solution,
     error). Lists are parsed for the wanted tasks only, and of the submission
-    pages only those that the lists point to.
+    pages only those that the lists point to. Copies are parsed each in its place
+    and dropped afterwards, so pages are not sorted and a readable copy wins.
 
-    The picked submissions (keys only) are stored in between: they are needed
-    twice, and their real size then decides how they are joined.
+    The picked submissions (keys only) are stored in between, because they are
+    needed twice.
     """
     wanted = list_pages.join(tasks.select(*TASK_KEYS), TASK_KEYS, "left_semi")
-    lists = one_per_key(wanted.select(*TASK_KEYS, "html"), TASK_KEYS)
-    picks = materialise(first_listed(listed_submissions(lists)))
+    listed = first_listed(listed_submissions(wanted.select(*TASK_KEYS, "html")))
+    picks = materialise(one_per_key(listed, TASK_KEYS, error="error"))
     page_keys = ["contest_id", "submission_id"]
     listed = picks.select(*page_keys).distinct()
-    pages = one_per_key(
-        submission_pages.select(*page_keys, "html").join(
-            listed, page_keys, "left_semi"
-        ),
-        page_keys,
+    pages = submission_pages.select(*page_keys, "html").join(
+        listed, page_keys, "left_semi"
     )
-    code = submission_code(pages).withColumnRenamed("error", "__code_error")
+    code = one_per_key(submission_code(pages), page_keys, error="error")
+    code = code.withColumnRenamed("error", "__code_error")
     return picks.join(code, page_keys, "left").select(
         *TASK_KEYS, "solution", F.coalesce("error", "__code_error").alias("error")
     )
@@ -52,14 +71,17 @@ def collect_outcomes(
     list_pages: DataFrame,
     submission_pages: DataFrame,
     existing: DataFrame,
+    skip: Skip = skip_collected_by_key,
 ) -> DataFrame:
     """New records with an ``error`` column; rows with an error are tasks that
-    failed. Known tasks are skipped before any page is parsed. Tasks without
+    failed. Known tasks are skipped before any page is parsed, by their keys or, with
+    ``skip_pages_by_title``, by the titles of records without keys. Tasks without
     problem or solution give no row."""
-    fresh = one_per_key(skip_collected_by_key(problem_pages, existing), TASK_KEYS)
-    problems = problem_records(
-        page_parts(fresh.select(*TASK_KEYS, "html"))
-    ).withColumnRenamed("error", "__problem_error")
+    fresh = skip(problem_pages, existing)
+    parsed = problem_records(page_parts(fresh.select(*TASK_KEYS, "html")))
+    problems = one_per_key(parsed, TASK_KEYS, error="error").withColumnRenamed(
+        "error", "__problem_error"
+    )
     solutions = solutions_for(
         fresh, list_pages, submission_pages
     ).withColumnRenamed("error", "__solution_error")
@@ -77,10 +99,11 @@ def collect_increment(
     list_pages: DataFrame,
     submission_pages: DataFrame,
     existing: DataFrame,
+    skip: Skip = skip_collected_by_key,
 ) -> DataFrame:
     """New complete records only."""
     good, _ = quarantine(
-        collect_outcomes(problem_pages, list_pages, submission_pages, existing)
+        collect_outcomes(problem_pages, list_pages, submission_pages, existing, skip)
     )
     return good
 

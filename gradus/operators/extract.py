@@ -46,9 +46,10 @@ def _tag(name: str, *, cls: str | None = None, id: str | None = None):
 
 def _text(element: Column) -> Column:
     """All text within an element."""
-    return F.substring(
-        F.col("__outline.text"), element["lo"] + 1, element["hi"] - element["lo"]
+    own = F.slice(
+        F.col("__outline.pieces"), element["lo"] + 1, element["hi"] - element["lo"]
     )
+    return F.array_join(own, "")
 
 
 def _computed_once(value: Column) -> Column:

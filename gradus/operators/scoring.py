@@ -121,3 +121,15 @@ def reward_summary(
     return wide.select(*by, F.explode(rows).alias("row")).select(
         *by, "row.reward", "row.m.*"
     )
+
+
+def best_of_group(
+    df: DataFrame, value: str = "total", group: str = "prompt_id", item: str = "gen_id"
+) -> DataFrame:
+    """The best completion of each group: ``group, item, value``. Of equal values
+    the smallest ``item`` wins; a group whose values are all null has none."""
+    rank = F.struct(F.col(value), -F.col(item))
+    best = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.max(rank).alias("__b"))
+    return best.select(
+        group, (-F.col("__b").getField("col2")).alias(item), F.col(f"__b.{value}").alias(value)
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -141,27 +142,33 @@ def attach_solution(
 
 
 def collected_titles(
-    existing: DataFrame, grid: DataFrame, prefix: str = CONTEST_PREFIX
+    existing: DataFrame, grid: DataFrame, prefix: str | Sequence[str] = CONTEST_PREFIX
 ) -> DataFrame:
     """Tasks of ``grid`` that some existing title names: it starts with
-    "LETTER -" and holds the contest id in any case.
+    "LETTER -" and holds the contest id in any case. ``prefix``: what the grid's
+    contest ids begin with, one or several.
 
     "Holds" becomes equality by listing, per title, every contest id it holds:
-    each number after the prefix, cut after every digit (a title with abc210
-    also holds abc21). Contest numbers are longs, so 19 digits cover them all.
+    each number after a prefix, cut after every digit (a title with abc210 also
+    holds abc21).
     """
-    numbers = F.regexp_extract_all(
-        F.lower("title"), F.lit(f"{prefix}([0-9]{{1,19}})"), F.lit(1)
-    )
-    cuts = F.flatten(
-        F.transform(
-            numbers,
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.length(n)),
-                lambda k: F.concat(F.lit(prefix), F.substring(n, F.lit(1), k)),
-            ),
+
+    def ids(start: str):
+        numbers = F.regexp_extract_all(
+            F.lower("title"), F.lit(f"{re.escape(start.lower())}([0-9]+)"), F.lit(1)
         )
-    )
+        return F.flatten(
+            F.transform(
+                numbers,
+                lambda n: F.transform(
+                    F.sequence(F.lit(1), F.length(n)),
+                    lambda k: F.concat(F.lit(start), F.substring(n, F.lit(1), k)),
+                ),
+            )
+        )
+
+    starts = [prefix] if isinstance(prefix, str) else list(prefix)
+    cuts = F.flatten(F.array(*map(ids, starts)))
     named = existing.where(F.col("title").contains(" -")).select(
         F.substring_index("title", " -", 1).alias("__letter"),
         F.explode(F.array_distinct(cuts)).alias("__contest"),
@@ -180,7 +187,7 @@ def collected_titles(
 
 
 def skip_collected(
-    grid: DataFrame, existing: DataFrame, prefix: str = CONTEST_PREFIX
+    grid: DataFrame, existing: DataFrame, prefix: str | Sequence[str] = CONTEST_PREFIX
 ) -> DataFrame:
     """Tasks of the grid that no existing title names, by equi-joins only."""
     hits = collected_titles(existing, grid, prefix)
@@ -213,10 +220,14 @@ def known_among(
 
 
 def one_per_key(
-    df: DataFrame, keys: Sequence[str], order: str | None = None
+    df: DataFrame, keys: Sequence[str], order: str | None = None, error: str | None = None
 ) -> DataFrame:
     """One row per key: the first by ``order``, else the smallest row, so that a
-    repeated task picks the same one. Copies are dropped map-side."""
+    repeated task picks the same one. Rows without ``error`` come first, so a broken
+    copy never hides a good one. Copies are dropped map-side."""
     rest = F.struct(*(c for c in df.columns if c not in keys))
-    row = F.min(rest) if order is None else F.min_by(rest, order)
+    rank = [F.col(error).isNotNull()] if error else []
+    if order is not None:
+        rank.append(F.col(order))
+    row = F.min_by(rest, F.struct(*rank, rest)) if rank else F.min(rest)
     return df.groupBy(*keys).agg(row.alias("__row")).select(*keys, "__row.*")

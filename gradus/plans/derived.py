@@ -204,6 +204,13 @@ def existing_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.unionByName(keys.where("doc_id % 10 = 0"))
 
 
+def all_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The task of every document."""
+    return table(spark, sf_dir, "documents").select(
+        F.expr(CONTEST_SQL).alias("contest_id"), F.expr(TASK_SQL).alias("task_id")
+    )
+
+
 def titled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Existing records known by title only: every third task."""
     docs = table(spark, sf_dir, "documents").where("doc_id % 3 = 0")

@@ -227,7 +227,7 @@ SELECT *, split_part(href, '/', -1) AS last_segment FROM rows_""",
     "(PARTITION BY user_id ORDER BY event_id) AS rn FROM events WHERE event_type = 'purchase') AS t WHERE rn = 1",
     "require_fields": "SELECT conv_id, text AS solution FROM (SELECT conv_id, text, row_number() OVER "
     "(PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations "
-    "WHERE role = 'assistant' AND turn <= 1) AS t WHERE rn = 1",
+    "WHERE role = 'assistant') AS t WHERE rn = 1",
     "attach_solution": _with(DIALOGUES) + "SELECT * FROM dialogues",
     "skip_collected": _with(
         GRID,
@@ -238,10 +238,15 @@ SELECT *, split_part(href, '/', -1) AS last_segment FROM rows_""",
     "skip_collected_by_key": _with(GRID, EXISTING)
     + "SELECT contest_id, task_id, letter FROM grid "
     "WHERE (contest_id, task_id) NOT IN (SELECT (contest_id, task_id) FROM existing)",
-    "append_existing": _with(GRID, EXISTING)
-    + "SELECT contest_id, task_id FROM existing UNION ALL SELECT contest_id, task_id FROM grid",
-    "dataset_count_by": _with(EXISTING)
-    + "SELECT contest_id, count(*) AS records FROM existing GROUP BY contest_id",
+    "append_existing": _with(GRID)
+    + f"SELECT contest_id, task_id FROM (SELECT {KEYS} FROM documents) AS d "
+    "UNION ALL SELECT contest_id, task_id FROM grid",
+    "dataset_count_by": "SELECT contest_id, count(*) AS records "
+    f"FROM (SELECT {KEYS} FROM documents) AS d GROUP BY contest_id",
+    "contest_range": "SELECT concat('abc', CAST(n AS VARCHAR)) AS contest_id, "
+    "concat('abc', CAST(n AS VARCHAR), '_', letter) AS task_id, letter FROM (SELECT unnest(range("
+    "(SELECT min(doc_id) // 4 FROM documents), (SELECT max(doc_id) // 4 + 1 FROM documents))) AS n) AS c, "
+    "(VALUES ('a'), ('b'), ('c'), ('d')) AS l(letter)",
     "build_prompt": _with(DIALOGUES)
     + f"SELECT conv_id, 'system' AS system_role, {R.text(K.SYSTEM_PROMPT)} AS system_content, "
     "'user' AS user_role, description AS user_content, solution AS answer FROM dialogues",
@@ -291,6 +296,15 @@ SELECT *, split_part(href, '/', -1) AS last_segment FROM rows_""",
     },
     "collect_new": _with(*COLLECT)
     + f"SELECT {RECORD_COLUMNS} FROM outcomes WHERE error IS NULL AND solution <> ''",
+    "collect_new_by_title": _with(
+        *COLLECT[:3],
+        f"titled AS (SELECT {D.TITLE_SQL} AS title FROM documents WHERE doc_id % 3 = 0)",
+        "existing AS (SELECT contest_id, task_id FROM problem_pages WHERE EXISTS (SELECT 1 FROM titled "
+        "WHERE starts_with(title, concat(upper(split_part(task_id, '_', -1)), ' -')) "
+        "AND contains(lower(title), contest_id)))",
+        *COLLECT[4:],
+    )
+    + f"SELECT {RECORD_COLUMNS} FROM outcomes WHERE error IS NULL AND solution <> ''",
     "collect_failures": _with(*COLLECT)
     + "SELECT contest_id, task_id, error FROM outcomes WHERE error IS NOT NULL",
     "collected_stream": _with(
@@ -338,6 +352,13 @@ ORACLES |= {
         "grouped AS (SELECT *, avg(total) OVER w AS mean, stddev_samp(total) OVER w AS sd "
         "FROM summed WINDOW w AS (PARTITION BY prompt_id))",
     ),
+    "best_of_group": R.with_views(
+        "SELECT prompt_id, gen_id, total FROM (SELECT *, row_number() OVER "
+        "(PARTITION BY prompt_id ORDER BY total DESC, gen_id) AS rn FROM summed WHERE total IS NOT NULL) "
+        "AS t WHERE rn = 1",
+        f"scored AS (SELECT prompt_id, gen_id, {_columns(ACTIVE)} FROM v)",
+        f"summed AS (SELECT prompt_id, gen_id, {_TOTAL} AS total FROM scored)",
+    ),
     "reward_summary_by_language": R.with_views(
         _summary(ALL, "lang", "scored"),
         f"scored AS MATERIALIZED (SELECT lang, {_columns(ALL)} FROM v)",
@@ -346,7 +367,7 @@ ORACLES |= {
         _summary([*ACTIVE, "total"], "quality", "labelled"),
         f"scored AS (SELECT doc_id, {_columns(ACTIVE)} FROM v)",
         f"labelled AS MATERIALIZED (SELECT scored.*, {_TOTAL} AS total, quality "
-        "FROM scored JOIN labels USING (doc_id))",
+        "FROM scored LEFT JOIN labels USING (doc_id))",
     ),
     "registered_reward": R.with_views(
         f"SELECT doc_id, 1e0 / (1 + length(ans)) AS brevity, {R.REWARD_SQL['correctness']} AS correctness FROM v"

@@ -12,18 +12,25 @@ from pyspark.sql import functions as F
 
 from gradus.functions import html as H
 from gradus.functions import text as T
-from gradus.functions.registry import batch_reward, register_reward
+from gradus.functions.registry import batch_reward, register_reward, unregister_reward
 from gradus.functions.rewards import ACTIVE, ALL
 from gradus.operators import extract as X
 from gradus.operators import prompts as P
 from gradus.operators import tasks as J
-from gradus.operators.collect import collect_increment, collect_outcomes
+from gradus.operators.collect import (
+    collect_increment,
+    collect_outcomes,
+    skip_pages_by_title,
+)
 from gradus.operators.scoring import (
     group_advantage,
     reward_summary,
     score,
     total_reward,
 )
+from gradus.operators.scoring import (
+    best_of_group as best_group,
+)
 from gradus.plans import derived as D
 from gradus.session import materialise, shared_path, spread
 from gradus.sources.problems import (
@@ -265,7 +272,7 @@ def first_accepted(spark, sf_dir):
 def require_fields(spark, sf_dir):
     turns = D.table(spark, sf_dir, "conversations")
     conversations = turns.select("conv_id").distinct()
-    solutions = turns.where("role = 'assistant' AND turn <= 1")
+    solutions = turns.where("role = 'assistant'")
     both = conversations.join(
         solutions.groupBy("conv_id").agg(F.min_by("text", "turn").alias("solution")),
         "conv_id",
@@ -293,16 +300,24 @@ def skip_collected_by_key(spark, sf_dir):
     return J.skip_collected_by_key(grid, D.existing_tasks(spark, sf_dir))
 
 
+@query
+def contest_range(spark, sf_dir):
+    """The grid between the tables' first and last contest."""
+    number = F.regexp_extract("contest_id", "([0-9]+)", 1).cast("long")
+    bounds = D.contests(spark, sf_dir).agg(F.min(number), F.max(number)).first()
+    return J.task_grid(spark, *bounds)
+
+
 @query
 def append_existing(spark, sf_dir):
-    old = D.existing_tasks(spark, sf_dir).select("contest_id", "task_id")
+    old = D.all_tasks(spark, sf_dir)
     new = J.with_letters(D.contests(spark, sf_dir)).select("contest_id", "task_id")
     return append_records(old, new)
 
 
 @query
 def dataset_count_by(spark, sf_dir):
-    return dataset_count(D.existing_tasks(spark, sf_dir), "contest_id")
+    return dataset_count(D.all_tasks(spark, sf_dir), "contest_id")
 
 
 # --- Prompts -------------------------------------------------------------------
@@ -499,12 +514,13 @@ def reward_summary_by_language(spark, sf_dir):
 
 @query
 def reward_summary_by_quality(spark, sf_dir):
-    """Slices from another table: only keys and rewards meet the join."""
+    """Slices from another table: only keys and rewards meet the join. Completions
+    without a label are a slice of their own."""
     names = [*ACTIVE, "total"]
     slim = _scored(spark, sf_dir).select("doc_id", *names)
     labels = D.table(spark, sf_dir, "labels").select("doc_id", "quality")
     return _rounded(
-        reward_summary(slim.join(labels, "doc_id"), names, by=["quality"]), "quality"
+        reward_summary(slim.join(labels, "doc_id", "left"), names, by=["quality"]), "quality"
     )
 
 
@@ -516,7 +532,15 @@ def registered_reward(spark, sf_dir):
         needs=["extracted_answer"],
     )
     names = ["brevity", "correctness"]
-    return score(D.completions(spark, sf_dir), names).select("doc_id", *names)
+    scored = score(D.completions(spark, sf_dir), names).select("doc_id", *names)
+    unregister_reward("brevity")
+    return scored
+
+
+@query
+def best_of_group(spark, sf_dir):
+    slim = _scored(spark, sf_dir).select("prompt_id", "gen_id", "total")
+    return best_group(slim)
 
 
 @query
@@ -564,6 +588,18 @@ def collect_new(spark, sf_dir):
     )
 
 
+@query
+def collect_new_by_title(spark, sf_dir):
+    return _flat(
+        collect_increment(
+            D.problem_pages(spark, sf_dir),
+            *_tables(spark, sf_dir),
+            D.titled_records(spark, sf_dir),
+            skip_pages_by_title,
+        )
+    )
+
+
 @query
 def collect_failures(spark, sf_dir):
     outcomes = collect_outcomes(

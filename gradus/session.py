@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
+    # Checkpoints go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -28,11 +30,16 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in
-    ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder is made and set."""
+    ``spark.checkpoint.dir``. Where that is unset, a temporary folder is made and set
+    on one machine, as in tests; on a cluster that would lose data, so it is an
+    error."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError(
+                "set spark.checkpoint.dir to a folder that all executors share"
+            )
         folder = tempfile.mkdtemp(prefix="gradus-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)

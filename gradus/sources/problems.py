@@ -36,8 +36,10 @@ def read_problems(
 
     ``fmt`` is ``json`` for whole files that each hold one JSON array (one task
     per file: for exchange, not for bulk), or ``jsonl`` / ``parquet`` / ``orc``
-    for the splittable forms. A tolerant read gives an empty dataset if the path
-    is missing or any JSON in it is malformed; a strict read raises instead.
+    for the splittable forms. A tolerant read gives an empty dataset for a missing
+    path, leaves out malformed records (an array file is one record: it is read
+    whole or not at all) and runs nothing when the plan is built; see
+    ``malformed_records`` for what was left out. A strict read raises instead.
     """
     if fmt not in ("json", "jsonl"):
         if tolerant:
@@ -46,22 +48,36 @@ def read_problems(
     options = {"multiLine": fmt == "json"}
     if not tolerant:
         return spark.read.schema(schema).json(path, mode="FAILFAST", **options)
-    checked = StructType([*schema.fields]).add(_CORRUPT, StringType())
-    df = read_or_empty(
+    df = _checked(spark, path, fmt, schema)
+    return df.where(F.col(_CORRUPT).isNull() & _read_too(schema)).drop(_CORRUPT)
+
+
+def _checked(spark: SparkSession, path: str, fmt: str, schema: StructType) -> DataFrame:
+    """Records with the text of malformed ones beside them."""
+    return read_or_empty(
         spark,
         path,
-        checked,
+        StructType([*schema.fields]).add(_CORRUPT, StringType()),
         "json",
         mode="PERMISSIVE",
         columnNameOfCorruptRecord=_CORRUPT,
-        **options,
+        multiLine=fmt == "json",
+    )
+
+
+def _read_too(schema: StructType):
+    """Always true. Spark wants another column to be read beside the corrupt text."""
+    return F.length(F.concat_ws("", F.col(schema.fieldNames()[0]).cast("string"))) >= 0
+
+
+def malformed_records(
+    spark: SparkSession, path: str, *, fmt: str = "jsonl", schema: StructType = PROBLEM
+) -> DataFrame:
+    """``file, record``: the dead letters of a tolerant JSON read."""
+    df = _checked(spark, path, fmt, schema)
+    return df.where(F.col(_CORRUPT).isNotNull() & _read_too(schema)).select(
+        F.input_file_name().alias("file"), F.col(_CORRUPT).alias("record")
     )
-    # Looking stops at the first corrupt record; its text stays where it is.
-    # (Spark wants one more column to be read next to the corrupt text.)
-    corrupt = df.where(F.col(_CORRUPT).isNotNull()).select(schema.fieldNames()[0])
-    if not corrupt.take(1):
-        return df.drop(_CORRUPT)
-    return spark.createDataFrame([], schema)
 
 
 def write_problems(
@@ -94,6 +110,7 @@ __all__ = [
     "KEYED_PROBLEM",
     "append_records",
     "dataset_count",
+    "malformed_records",
     "read_or_empty",
     "read_pages",
     "read_problems",

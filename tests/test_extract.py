@@ -194,7 +194,7 @@ def test_submission_code(spark):
 
 def texts(html, tag):
     o = outline(html)
-    return [o["text"][e["lo"] : e["hi"]] for e in o["elements"] if e["tag"] == tag]
+    return ["".join(o["pieces"][e["lo"] : e["hi"]]) for e in o["elements"] if e["tag"] == tag]
 
 
 def test_outline_texts():
@@ -221,13 +221,13 @@ def test_outline_structure():
 
 def test_deep_unclosed_markup_is_linear():
     o = outline("<b>" * 20000 + "<p>x" + "</i>" * 20000)
-    assert len(o["elements"]) == 1 and o["text"] == "x"
+    assert len(o["elements"]) == 1 and "".join(o["pieces"]) == "x"
 
 
 def test_helper_travels_without_the_package():
     code = (
         "import pickle, sys; f = pickle.load(sys.stdin.buffer); "
-        "print(f('<p>a</p>')['text'], 'gradus' in sys.modules)"
+        "print(*f('<p>a</p>')['pieces'], 'gradus' in sys.modules)"
     )
     done = subprocess.run(
         [sys.executable, "-c", code],
@@ -248,3 +248,40 @@ def test_extraction_needs_no_shuffle(spark):
     filtered = df.where(F.col("error").isNull() & (F.col("description") != ""))
     plan = filtered._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_light_html(spark):
+    from gradus.functions import html as H
+
+    page = (
+        '<HTML LANG="en-US"><TITLE data-x="1">A &#38; B&nbsp;&#x1F600;</TITLE><body>'
+        "<P class=\"x\"> one&#39;s <b>two</b> </P><p>three</p ><a class=\"b\" href='/u'>u</a>"
+        '<A HREF="/v" id=z>v</A><abbr href="/no">w</abbr><p>open'
+    )
+    df = spark.createDataFrame([(page,), ("<p>a",), ("",), (None,)], "html string")
+    c = F.col("html")
+    rows = df.select(
+        H.page_title(c).alias("t"), H.page_language(c).alias("l"),
+        H.paragraphs(c).alias("p"), H.link_targets(c).alias("a"),
+    ).collect()
+    assert tuple(rows[0]) == ("A & B\xa0😀", "en", ["one's two", "three"], ["/u", "/v"])
+    assert tuple(rows[1]) == (None, "", [], [])
+    assert tuple(rows[2]) == (None, "", [], [])
+
+
+def test_long_pages_take_linear_time(spark):
+    import time
+
+    body = "".join(f"<p>paragraph {i} of a page with some sixty characters in each</p>" for i in range(16_000))
+    start = '<span class="h2">A - T</span><div id="task-statement"><span class="lang-en"><div class="part">'
+    page = f"{start}<section><h3>Problem Statement</h3>{body}</section></div></span></div>"
+    nested = page.replace("</p>", "")
+    pages = spark.createDataFrame([("good", page), ("bad", nested)], "contest_id string, html string")
+    pages = pages.withColumn("task_id", F.col("contest_id"))
+    run = lambda: {r.task_id: r for r in X.problem_records(X.page_parts(pages)).collect()}
+    run()
+    began = time.perf_counter()
+    got = run()
+    assert time.perf_counter() - began < 6
+    assert got["good"].description.count("\n") == 15_999 and got["good"].error is None
+    assert "paragraphs within one another" in got["bad"].error

@@ -168,3 +168,26 @@ def test_length_budget(spark):
     row = P.length_budget(df, 4, 1).first()
     assert (row.prompt_words, row.completion_words) == (4, 2)
     assert (row.prompt_over, row.completion_over) == (False, True)
+
+
+def test_best_of_group(spark):
+    from gradus.operators.scoring import best_of_group
+
+    rows = [(1, 0, 2.0), (1, 1, 5.0), (1, 2, 5.0), (2, 0, None), (3, 4, -1.0), (3, 5, None)]
+    df = spark.createDataFrame(rows, "prompt_id bigint, gen_id int, total double")
+    got = sorted(tuple(r) for r in best_of_group(df).collect())
+    assert got == [(1, 1, 5.0), (3, 4, -1.0)]
+
+
+def test_python_reward_may_be_null(spark):
+    from gradus.functions.registry import batch_reward
+
+    df = spark.createDataFrame([("a", "p", "x"), (None, "p", "y")], "c string, p string, a string")
+    value = batch_reward(
+        lambda prompts, completions, answer: [None if c is None else 1 for c in completions],
+        F.col("p"), F.col("c"), F.col("a"),
+    )
+    assert sorted(r.v is None for r in df.select(value.alias("v")).collect()) == [False, True]
+    short = batch_reward(lambda **k: [], F.col("p"), F.col("c"), F.col("a"))
+    with pytest.raises(Exception, match="rewards for"):
+        df.select(short.alias("v")).collect()

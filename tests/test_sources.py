@@ -45,7 +45,12 @@ def test_missing_and_malformed(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)malformed|corrupt"):
         S.read_problems(spark, bad, tolerant=False).collect()
     lines = write(tmp_path / "bad.jsonl", json.dumps(RECORDS[0]) + "\n{oops\n")
-    assert S.read_problems(spark, lines, fmt="jsonl").count() == 0
+    # One bad line costs one record, and is kept as a dead letter.
+    assert [r.title for r in S.read_problems(spark, lines, fmt="jsonl").collect()] == ["A - é"]
+    dead = S.malformed_records(spark, lines).collect()
+    assert [r.record for r in dead] == ["{oops"] and dead[0].file.endswith("bad.jsonl")
+    assert [r.file[-8:] for r in S.malformed_records(spark, bad, fmt="json").collect()] == ["bad.json"]
+    assert S.malformed_records(spark, missing).count() == 0
 
 
 @pytest.mark.parametrize("fmt", ["jsonl", "parquet", "orc"])
@@ -88,3 +93,19 @@ def test_spread_leaves_wide_scans_alone(spark):
     wide = spark.range(0, 1000, numPartitions=cores)
     assert spread(wide) is wide
     assert spread(spark.range(0, 1000, numPartitions=1), "id").rdd.getNumPartitions() == 3 * cores
+
+
+def test_no_shared_folder_on_a_cluster(tmp_path):
+    from types import SimpleNamespace
+
+    from gradus.session import shared_dir
+
+    made = []
+    context = SimpleNamespace(
+        master="spark://host:7077", getCheckpointDir=lambda: None, setCheckpointDir=made.append
+    )
+    session = SimpleNamespace(conf={}, sparkContext=context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session)
+    session.conf["spark.checkpoint.dir"] = str(tmp_path)
+    assert shared_dir(session) == str(tmp_path) and made == [str(tmp_path)]

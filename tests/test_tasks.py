@@ -134,3 +134,47 @@ def test_one_per_key(spark):
     )
     assert rows(J.one_per_key(df, ["k"], "at"), "k", "at") == [("a", 1), ("b", 1)]
     assert rows(J.one_per_key(df.drop("at"), ["k"]), "k") == [("a",), ("b",)]
+
+
+def test_one_per_key_prefers_readable_copies(spark):
+    rows = [("a", "x", None), ("a", "b", "broken"), ("b", "c", "broken"), ("b", "d", "worse")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "k string, v string, error string")
+        got = {r.k: (r.v, r.error) for r in J.one_per_key(df, ["k"], error="error").collect()}
+        assert got == {"a": ("x", None), "b": ("c", "broken")}
+
+
+def test_titles_with_long_numbers_and_several_prefixes(spark):
+    long = "abc12345678901234567890"
+    tasks = [(long, "a"), ("arc12", "a"), ("arc1", "a"), ("abc7", "a")]
+    grid = J.with_letters(spark.createDataFrame([(c,) for c, _ in tasks], "contest_id string"), ["a"])
+    titles = spark.createDataFrame([(f"A - x {long.upper()}",), ("A - x ARC12",)], "title string")
+    left = {r.contest_id for r in J.skip_collected(grid, titles, ["abc", "arc"]).collect()}
+    assert left == {"abc7"}
+
+
+def test_copies_and_titles_in_collection(spark):
+    from gradus.operators.collect import collect_increment, skip_pages_by_title
+
+    good = (
+        '<span class="h2">A - T</span><div id="task-statement"><span class="lang-en"><div class="part">'
+        "<section><h3>Problem Statement</h3><p>p</p></section></div></span></div>"
+    )
+    broken = "<p>" * 100
+    pages = [("abc1", "abc1_a", h) for h in (good, broken)] + [("abc2", "abc2_a", good)]
+    lists = [(c, f"{c}_a", f'<table><tr><td><a href="/s/{c}1">d</a></td></tr></table>') for c in ("abc1", "abc2")]
+    codes = [(c, f"{c}1", '<pre id="submission-code">int main(){}</pre>') for c in ("abc1", "abc2")]
+    known = spark.createDataFrame([("A - old ABC2",)], "title string")
+    for order in (pages, pages[::-1]):
+        new = collect_increment(
+            spark.createDataFrame(order, "contest_id string, task_id string, html string"),
+            spark.createDataFrame(lists, "contest_id string, task_id string, html string"),
+            spark.createDataFrame(codes, "contest_id string, submission_id string, html string"),
+            known,
+            skip_pages_by_title,
+        )
+        assert [(r.task_id, r.description) for r in new.collect()] == [("abc1_a", "p")]
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        for line in plan.splitlines():
+            if "Exchange" in line or "SortAggregate" in line:
+                assert "html" not in line
