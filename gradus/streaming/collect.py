@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql.types import LongType, StructType
 
 from gradus.operators.collect import collect_outcomes
 from gradus.operators.tasks import known_among, skip_collected_by_key
-from gradus.sources.problems import read_or_empty
+from gradus.sources.problems import PAGE_BUCKETS, read_or_empty, read_pages_of
 from gradus.sources.schemas import KEYED_PROBLEM, TASK_KEYS
 
 STORED = (
@@ -32,9 +33,26 @@ def read_failed(spark: SparkSession, target: str) -> DataFrame:
     return skip_collected_by_key(failed.distinct(), read_collected(spark, target))
 
 
+@dataclass(frozen=True)
+class PageStores:
+    """List and submission pages stored by ``write_pages``. A batch reads the folders
+    of its own contests only."""
+
+    lists: str
+    submissions: str
+    buckets: int = PAGE_BUCKETS
+
+    def of(self, tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
+        spark = tasks.sparkSession
+        return tuple(
+            read_pages_of(spark, path, tasks, buckets=self.buckets)
+            for path in (self.lists, self.submissions)
+        )
+
+
 def collect_stream(
     problem_pages: DataFrame,
-    lookups: Callable[[SparkSession], tuple[DataFrame, DataFrame]],
+    lookups: PageStores | Callable[[SparkSession], tuple[DataFrame, DataFrame]],
     target: str,
     checkpoint: str,
     *,
@@ -43,8 +61,9 @@ def collect_stream(
     """Append new records to ``target``, one folder per batch.
 
     Per batch: copies of a page and tasks collected earlier are dropped, the rest
-    is parsed and joined with its solution. ``lookups`` opens the list pages and
-    submission pages anew for each batch. A batch that runs again after a failure
+    is parsed and joined with its solution. ``lookups`` are stores by contest, or a
+    function that opens the list pages and submission pages anew for each batch; large
+    stores need the former. A batch that runs again after a failure
     overwrites its own folder and compares with the earlier ones only, so the
     result is the same. Failed tasks stay open: a new crawl of their page is
     tried again.
@@ -55,7 +74,10 @@ def collect_stream(
         earlier = read_or_empty(spark, target, STORED).where(
             F.col("error").isNull() & (F.col("batch_id") != batch_id)
         )
-        list_pages, submission_pages = lookups(spark)
+        if isinstance(lookups, PageStores):
+            list_pages, submission_pages = lookups.of(batch.select(*TASK_KEYS))
+        else:
+            list_pages, submission_pages = lookups(spark)
         outcomes = collect_outcomes(
             batch, list_pages, submission_pages, known_among(batch, earlier)
         )

@@ -119,3 +119,29 @@ def test_collect_skips_known_and_copied_tasks(spark, sf_dir):
     assert as_set(copied) == once
     tasks = {(r.contest_id, r.task_id) for r in known.collect()}
     assert not tasks & {tuple(row[:2]) for row in once}
+
+
+def test_a_batch_reads_the_folders_of_its_contests(spark, sf_dir, tmp_path):
+    from gradus.sources.problems import read_pages_of, write_pages
+    from gradus.streaming.collect import PageStores
+
+    lists, codes = tables(spark, sf_dir)
+    stores = PageStores(str(tmp_path / "lists"), str(tmp_path / "codes"), 16)
+    write_pages(lists, stores.lists, buckets=16)
+    write_pages(codes, stores.submissions, buckets=16)
+    pages = D.problem_pages(spark, sf_dir).select(*TASK_PAGE.fieldNames())
+    few = pages.where("contest_id IN ('abc1', 'abc2')")
+    read = read_pages_of(spark, stores.lists, few, buckets=16)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "contest_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    files = [r[0] for r in read.select(F.input_file_name()).distinct().collect()]
+    assert 0 < len({f.split("contest_bucket=")[1].split("/")[0] for f in files}) <= 2
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    pages.write.parquet(source)
+    collect_stream(
+        spark.readStream.schema(TASK_PAGE).parquet(source), stores, target, str(tmp_path / "o")
+    ).awaitTermination()
+    nothing = spark.createDataFrame([], KEYED_PROBLEM)
+    assert as_set(read_collected(spark, target)) == as_set(
+        collect_increment(pages, *tables(spark, sf_dir), nothing)
+    )
