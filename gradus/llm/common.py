@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,14 +24,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` doesn't have, whatever its case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"{name}_{uuid.uuid4().hex[:6]}"
-    return name
-
-
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts."""
     return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
@@ -49,4 +39,4 @@ def crc_mod(id_column, n: int):
     return F.pmod(F.crc32(id_column.cast("string")), F.lit(n))
 
 
-__all__ = ["WORD", "buckets_for", "crc_mod", "fresh", "stored", "table", "text_bytes"]
+__all__ = ["WORD", "buckets_for", "crc_mod", "stored", "table", "text_bytes"]

@@ -14,7 +14,8 @@ own; they are fitted to the sample but drawn towards a prior in which quotation
 counts less than abuse.
 
 Learning takes at most ``SAMPLE_ROWS`` labelled texts that aren't held out. Term
-counts are summed in Spark and at most ``TERMS`` come to the driver. Scoring is one
+counts are summed in Spark; at most ``CANDIDATES`` terms of toxic texts come to the
+driver and at most ``TERMS`` are chosen. Scoring is one
 narrow pass over whole texts.
 
 Defined results: null and empty texts have no hits and get the lowest score; labels
@@ -45,14 +46,15 @@ PREFIXES = range(4, 13)
 #: A term is in so many toxic texts at least, and toxic texts are such a share.
 LEAST_TEXTS, LEAST_SHARE = 4, 0.95
 TERMS = 2_000
-EDITS = 1
+#: Terms of toxic texts that are looked for in the others, the most frequent first.
+CANDIDATES = 100_000
 FUZZY_FROM, FUZZY_STRENGTH = 5, 5.5
 #: Log-odds that count as one hit, and the most hits that count.
 UNIT, MOST = 5.0, 6.0
 CONTEXT = 8
 CUT = 0.7
 #: Words whose hits a task remembers; then it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 
 #: Weights before learning: exact, exact quoted, misspelled, misspelled quoted, bias.
 PRIOR = np.array([3.0, 0.8, 2.0, 0.5, -3.5])
@@ -82,50 +84,93 @@ def build_trie(terms: list[Term]) -> dict:
         node = root
         for c in term:
             node = node.setdefault(c, {})
-        node[_END] = (len(term), beginning, strength)
+        node[_END] = (beginning, strength)
     return root
 
 
+def fuzzy(term: Term) -> bool:
+    """May the term be misspelled?"""
+    return len(term[0]) >= FUZZY_FROM and term[2] >= FUZZY_STRENGTH
+
+
 class Automaton:
-    """Levenshtein automaton of one word. A state is the tuple of edits at each
-    place of the word, with more than ``edits`` as dead."""
-
-    def __init__(self, word: str, edits: int = EDITS) -> None:
-        self.word, self.dead = word, edits + 1
-
-    def start(self) -> tuple[int, ...]:
-        return tuple(min(i, self.dead) for i in range(len(self.word) + 1))
-
-    def step(self, state: tuple[int, ...], c: str) -> tuple[int, ...]:
-        out = [min(state[0] + 1, self.dead)]
-        for i, w in enumerate(self.word):
-            out.append(
-                min(out[i] + 1, state[i + 1] + 1, state[i] + (w != c), self.dead)
-            )
-        return tuple(out)
-
-    def alive(self, state: tuple[int, ...]) -> bool:
-        return min(state) < self.dead
-
-
-def best_hit(word: str, trie: dict) -> tuple[int, float] | None:
-    """Edits between the word and its nearest term, and the term's strength; None
-    beyond ``EDITS``. The stronger of terms equally near counts."""
-    machine = Automaton(word)
-    best, heap = (machine.dead, 0.0), [(trie, machine.start())]
-    while heap:
-        node, state = heap.pop()
-        if _END in node:
-            length, beginning, strength = node[_END]
-            edits = min(state) if beginning else state[-1]
-            if edits == 0 or (length >= FUZZY_FROM and strength >= FUZZY_STRENGTH):
-                best = min(best, (edits, -strength))
-        for c, child in node.items():
-            if c != _END:
-                after = machine.step(state, c)
-                if machine.alive(after):
-                    heap.append((child, after))
-    return (best[0], -best[1]) if best[0] <= EDITS else None
+    """Levenshtein automaton of one word, for one edit. A state is two sets of
+    places in the word, as bits: those reached without an edit, and with one."""
+
+    def __init__(self, word: str) -> None:
+        self.last = 1 << len(word)
+        self.all = (self.last << 1) - 1
+        self.at: dict[str, int] = {}
+        for i, c in enumerate(word):
+            self.at[c] = self.at.get(c, 0) | 1 << i
+
+    def start(self) -> tuple[int, int]:
+        return 1, 3 & self.all
+
+    def step(self, state: tuple[int, int], c: str) -> tuple[int, int]:
+        none, one = state
+        here = self.at.get(c, 0)
+        kept = (none & here) << 1
+        # The same character; another; one that the word lacks; one it has too many.
+        edited = (one & here) << 1 | none << 1 | none | kept << 1
+        return kept & self.all, edited & self.all
+
+
+class Lexicon:
+    """Terms as tries: all of them, and those that may be misspelled."""
+
+    def __init__(self, terms: list[Term]) -> None:
+        self.exact = build_trie(terms)
+        loose = [t for t in terms if fuzzy(t)]
+        self.misspelled = build_trie(loose)
+        # One edit leaves a term's first or second half as it is: without either a
+        # word needs no automaton.
+        self.first: dict[int, set[str]] = {}
+        self.second: dict[tuple[int, int], set[str]] = {}
+        for term, _, _ in loose:
+            half = len(term) // 2
+            self.first.setdefault(half, set()).add(term[:half])
+            self.second.setdefault((half, len(term) - half), set()).add(term[half:])
+
+    def near(self, word: str) -> bool:
+        for half, starts in self.first.items():
+            if word[:half] in starts:
+                return True
+        for (half, n), ends in self.second.items():
+            for at in (half - 1, half, half + 1):
+                if word[at : at + n] in ends:
+                    return True
+        return False
+
+    def best_hit(self, word: str) -> tuple[int, float] | None:
+        """Edits between the word and its nearest term, and the term's strength;
+        None beyond one edit. The strongest of equally near terms counts."""
+        node, best = self.exact, 0.0
+        for i, c in enumerate(word, 1):
+            if (node := node.get(c)) is None:
+                break
+            if _END in node:
+                beginning, strength = node[_END]
+                if beginning or i == len(word):
+                    best = max(best, strength)
+        if best:
+            return 0, best
+        if not self.near(word):
+            return None
+        machine = Automaton(word)
+        stack = [(self.misspelled, machine.start())]
+        while stack:
+            node, state = stack.pop()
+            for c, child in node.items():
+                if c == _END:
+                    beginning, strength = child
+                    if state[1] & (machine.all if beginning else machine.last):
+                        best = max(best, strength)
+                else:
+                    after = machine.step(state, c)
+                    if after[0] or after[1]:
+                        stack.append((child, after))
+        return (1, best) if best else None
 
 
 def quoted(before: list[str], word: str, after: list[str]) -> bool:
@@ -155,7 +200,7 @@ class Hits:
     """Counts the hits of texts; remembers words from block to block."""
 
     def __init__(self, terms: list[Term]) -> None:
-        self.trie = build_trie(terms)
+        self.lexicon = Lexicon(terms)
         self.known: dict[int, tuple[int, float] | None] = {}
 
     def _found(self, block: Block, starts: np.ndarray, ends: np.ndarray):
@@ -168,7 +213,7 @@ class Hits:
         for i, (name, w) in enumerate(zip(distinct.tolist(), at.tolist(), strict=True)):
             if name not in self.known:
                 word = plain(block.data[starts[w] : ends[w]].tobytes().decode())
-                self.known[name] = best_hit(word, self.trie) if len(word) >= 3 else None
+                self.known[name] = self.lexicon.best_hit(word) if len(word) >= 3 else None
             if hit := self.known[name]:
                 edits[i], strength[i] = hit
         return edits[back], strength[back]
@@ -210,29 +255,36 @@ def fit(x: np.ndarray, toxic: np.ndarray, pull: float = 0.5) -> np.ndarray:
     return w
 
 
-def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many toxic and other texts each term is."""
-    names = ["term", "beginning", "toxic", "other"]
+def _terms_of(text: str | None) -> set[tuple[str, bool]]:
+    words = {plain(w) for w in (text or "").split()}
+    found = {(w, False) for w in words if len(w) >= 3}
+    return found | {(w[:n], True) for w in words for n in PREFIXES if len(w) >= n}
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
+    """In how many texts each term is (of those wanted, if they are given)."""
     for batch in batches:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-            words = {plain(w) for w in (text or "").split()}
-            found = {(w, False) for w in words if len(w) >= 3}
-            found |= {(w[:n], True) for w in words for n in PREFIXES if len(w) >= n}
-            counts[0 if toxic else 1].update(found)
-        terms = list(counts[0])  # others are never chosen, but their texts count
-        terms += [t for t in counts[1] if t not in counts[0]]
+        counts: Counter = Counter()
+        for text in batch["text"].to_pylist():
+            found = _terms_of(text)
+            counts.update(found if wanted is None else found & wanted.value)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([t for t, _ in terms], pa.string()),
-                pa.array([b for _, b in terms], pa.bool_()),
-                pa.array([counts[0][t] for t in terms], pa.int64()),
-                pa.array([counts[1][t] for t in terms], pa.int64()),
+                pa.array([t for t, _ in counts], pa.string()),
+                pa.array([b for _, b in counts], pa.bool_()),
+                pa.array(list(counts.values()), pa.int64()),
             ],
-            names,
+            ["term", "beginning", "texts"],
         )
 
 
+def _term_counts(texts: DataFrame, wanted=None) -> DataFrame:
+    rows = texts.select("text").mapInArrow(
+        lambda it: _count_terms(it, wanted), "term string, beginning boolean, texts bigint"
+    )
+    return rows.groupBy("term", "beginning").agg(F.sum("texts").alias("texts"))
+
+
 def choose_terms(
     rows: list[tuple[str, bool, int, int]], odds: float = 1.0
 ) -> list[Term]:
@@ -260,6 +312,7 @@ def choose_terms(
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    spark = docs.sparkSession
     chosen = (
         labels.select("doc_id", F.col("toxic").alias("_t"))
         .where("doc_id IS NOT NULL AND _t IS NOT NULL")
@@ -274,21 +327,22 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         .select("doc_id", "text", (F.col("_t") != 0).alias("toxic")),
         "labelled",
     )
-    counted = sample.select("text", "toxic").mapInArrow(
-        _term_rows, "term string, beginning boolean, toxic bigint, other bigint"
-    )
-    counted = counted.groupBy("term", "beginning").agg(
-        F.sum("toxic").alias("toxic"), F.sum("other").alias("other")
-    )
-    share = F.col("toxic") / (F.col("toxic") + F.col("other"))
-    rows = (
-        counted.where((F.col("toxic") >= LEAST_TEXTS) & (share >= LEAST_SHARE))
-        .orderBy(F.desc("toxic"), "term", "beginning")
-        .limit(TERMS)
+    toxic = (
+        _term_counts(sample.where("toxic"))
+        .where(F.col("texts") >= LEAST_TEXTS)
+        .orderBy(F.desc("texts"), "term", "beginning")
+        .limit(CANDIDATES)
         .collect()
     )
+    wanted = spark.sparkContext.broadcast({(r.term, r.beginning) for r in toxic})
+    other = {
+        (r.term, r.beginning): r.texts
+        for r in _term_counts(sample.where("NOT toxic"), wanted).collect()
+    }
+    rows = [(r.term, r.beginning, r.texts, other.get((r.term, r.beginning), 0)) for r in toxic]
+    rows = [r for r in rows if r[2] >= LEAST_SHARE * (r[2] + r[3])][:TERMS]
     size = sample.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
-    terms = choose_terms([tuple(r) for r in rows], (size[1] + 1) / (size[0] + 1))
+    terms = choose_terms(rows, (size[1] + 1) / (size[0] + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = Hits(terms)
