@@ -44,7 +44,7 @@ SPAN = 48
 GRAM = 8
 #: Cuts at least so far inside a window don't depend on what is around it.
 MARGIN = SPAN + GRAM
-BUCKET_BYTES = 48 << 20
+BUCKET_BYTES = 96 << 20
 BLOCK_BYTES = 1 << 20
 
 _SETTLED, _SORTED = 1, 2
