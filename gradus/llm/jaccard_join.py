@@ -10,16 +10,18 @@ that link have at least ``min(EXTRA, ceil(0.8 n))`` head shingles in common, ``n
 being the smaller size. The matrix holds, for each group of similar documents, the
 union of its members' heads; the number of a query's head shingles in it bounds the
 overlap with every member, and only groups that reach the bound are opened, which
-means comparing the query's whole set with the members'. Comparing stops at the
-first link, since a group's members are linked already.
+means comparing the query's whole set with the members'. Documents of one component
+are never compared.
 
-1. The documents that have their first shared shingle in common form groups around
-   one leader; each is compared with it. Those that link make up the first groups.
-2. Each document of a smaller group opens the largest group with enough overlap.
-3. All groups of other components that qualify are opened: no link is lost.
+1. Documents that have their least shared shingle in common form a group around one
+   leader, and each is compared with it.
+2. Each document opens the largest other component that has enough of its head.
+3. All pairs of groups with enough in common are opened where they belong to more
+   than one component: no link is lost.
 
-Most copies are linked after the first two steps, which take each document once,
-so the last one does not compare all pairs of a large group of near copies.
+In the last step groups are first put together that have much in common, so a large
+group of near copies meets itself once, and bitmaps of the sets are compared before
+sets: the bits that only one of two has bound their overlap.
 
 Defined results: null and empty texts and texts without words have an empty set and
 link with nothing; a null id is larger than any other; rows with one id are compared
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus.llm import match as M
@@ -43,13 +45,16 @@ from gradus.llm.components import components
 
 SHINGLE = 5
 PERCENT = 80
-EXTRA = 4
+EXTRA = 8
 #: Counters of the sketch: a power of two up to 2**24, one byte each when sent.
 SKETCH_BITS = (16, 24)
 SLICE_BITS = 12
 BUCKET_BYTES = 48 << 20
 #: Shingles that one side of a cell of comparisons holds (or one longer set).
 CELL_SHINGLES = 200_000
+#: Bits of a set's bitmap, and bitmaps on one side of a cell.
+BITS = 2048
+CELL_BITMAPS = 4_000
 
 
 def least_common(n):
@@ -116,8 +121,8 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Re
             table[cell] += count.astype(np.uint32)
     used = np.flatnonzero(table)
     slices = used >> SLICE_BITS
-    cuts = np.flatnonzero(np.append(True, slices[1:] != slices[:-1])) if len(used) else []
-    for lo, hi in zip(cuts, [*cuts[1:], len(used)], strict=True):
+    cuts = M._groups(np.arange(len(used)), slices)
+    for lo, hi in zip(cuts, np.append(cuts, len(used))[1:], strict=True):
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([int(slices[lo])], pa.int32()),
@@ -179,6 +184,12 @@ def _head_rows(batches, levels, n_buckets: int):
             yield from M.pack(hashes, ids, first, keys, n_buckets, M.SHARED)
 
 
+def _bitmap(keys: np.ndarray) -> bytes:
+    bits = np.zeros(BITS, bool)
+    bits[(keys & np.uint64(BITS - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
 def _active_rows(batches, levels) -> Iterator[pa.RecordBatch]:
     """Sets whose head has enough shared shingles to link at all."""
     for batch in batches:
@@ -198,141 +209,245 @@ def _active_rows(batches, levels) -> Iterator[pa.RecordBatch]:
                     pa.array(n[keep], pa.int64()),
                     pa.array([t.view(np.int64) for t in tokens], pa.list_(pa.int64())),
                     pa.array([keys[first[d] : first[d + 1]].tobytes() for d in keep], pa.binary()),
+                    pa.array([_bitmap(keys[first[d] : first[d + 1]]) for d in keep], pa.binary()),
                 ],
-                ["node", "n", "tokens", "set"],
+                ["node", "n", "tokens", "set", "bits"],
             )
 
 
 def _compare(group: pa.Table) -> pa.Table:
-    """Links of the queries of a cell with its members; each stops at the first."""
+    """Links between the queries and the members of a cell. Overlaps with all members
+    are counted at once, from an inverted index. Of components that are linked
+    already, here or before, no further links are sought."""
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["set"]]
-    nodes = group["node"].to_pylist()
-    is_query = group["query"].to_pylist()
-    members = [i for i, q in enumerate(is_query) if not q]
-    sizes = np.array([len(sets[i]) for i in members])
-    found_q, found_m = [], []
-    for i in (i for i, q in enumerate(is_query) if q):
+    nodes, parts = group["node"].to_pylist(), group["component"].to_pylist()
+    is_query = np.array(group["query"].to_pylist(), bool)
+    members = np.flatnonzero(~is_query)
+    sizes = np.array([len(sets[i]) for i in members], np.int64)
+    tokens = np.concatenate([sets[i] for i in members] or [np.zeros(0, np.uint64)])
+    holder = np.repeat(np.arange(len(members)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, holder = tokens[order], holder[order]
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = c = root.get(up, up)
+        return c
+
+    found = []
+    for i in np.flatnonzero(is_query):
         n = len(sets[i])
-        near = np.flatnonzero(
-            (100 * np.minimum(n, sizes) >= PERCENT * np.maximum(n, sizes))
-        )
-        for j in near[np.argsort(np.abs(sizes[near] - n), kind="stable")]:
-            other = sets[members[j]]
-            at = np.minimum(np.searchsorted(other, sets[i]), len(other) - 1)
-            both = int((other[at] == sets[i]).sum())
-            if nodes[members[j]] != nodes[i] and 100 * both >= PERCENT * (n + len(other) - both):
-                found_q.append(nodes[i])
-                found_m.append(nodes[members[j]])
-                break
+        lo = np.searchsorted(tokens, sets[i], "left")
+        count = np.searchsorted(tokens, sets[i], "right") - lo
+        held = np.repeat(lo - np.append(0, np.cumsum(count)[:-1]), count)
+        both = np.bincount(holder[held + np.arange(len(held))], minlength=len(members))
+        for j in np.flatnonzero(100 * both >= PERCENT * (n + sizes - both)):
+            a, b = find(parts[i]), find(parts[members[j]])
+            if a != b:
+                root[a] = b
+                found.append((nodes[i], nodes[members[j]]))
     return pa.table(
-        [pa.array(found_q, pa.int64()), pa.array(found_m, pa.int64())], ["a", "b"]
+        [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"]
     )
 
 
-def opened(sets: DataFrame, openings: DataFrame, members: DataFrame) -> DataFrame:
-    """Links ``a, b`` found by comparing each query ``q`` of ``openings`` (``q, g``)
-    with the ``members`` (``g, node``) of its group. Large sides are cut into blocks:
-    a task holds one block of queries and one of members."""
+def _cells(
+    sets: DataFrame, queries: DataFrame, members: DataFrame, weight: Column, most: int
+) -> DataFrame:
+    """Both sides of each pair with the columns of ``sets``, dealt to cells ``pair, q,
+    m``: each holds one block of queries and one of members, of about ``most``."""
     sizes = sets.select("node", "n")
-    parts = lambda n: F.ceil(F.sum(n) / CELL_SHINGLES).cast("int")
-    q_parts = openings.join(sizes, F.col("q") == F.col("node")).groupBy("g").agg(
-        parts("n").alias("q_parts")
-    )
-    m_parts = (
-        members.join(openings.select("g").distinct(), "g", "left_semi")
-        .join(sizes, "node")
-        .groupBy("g")
-        .agg(parts("n").alias("m_parts"))
-    )
-    cells = stored(q_parts.join(m_parts, "g"), "cells")
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    parts = F.ceil(weight / most).cast("int")
+
+    def cut(side: DataFrame, name: str) -> DataFrame:
+        return side.join(sizes, "node").groupBy("pair").agg(parts.alias(name))
+
+    cells = stored(cut(queries, "qs").join(cut(members, "ms"), "pair"), "cells")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    queries = openings.join(cells, "g").select(
-        "g", F.col("q").alias("node"), F.lit(True).alias("query"),
-        block("q", "q_parts").alias("qb"), every("m_parts").alias("mb"),
+    columns = ["pair", "node", "component"]
+    asked = queries.join(cells, "pair").select(
+        *columns, F.lit(True).alias("query"), block("qs").alias("q"), every("ms").alias("m")
     )
-    held = members.join(cells, "g").select(
-        "g", "node", F.lit(False).alias("query"),
-        every("q_parts").alias("qb"), block("node", "m_parts").alias("mb"),
+    held = members.join(cells, "pair").select(
+        *columns, F.lit(False).alias("query"), every("qs").alias("q"), block("ms").alias("m")
     )
-    rows = queries.union(held).join(sets.select("node", "set"), "node")
-    return rows.groupBy("g", "qb", "mb").applyInArrow(_compare, "a bigint, b bigint")
+    return asked.union(held).join(sets, "node")
 
 
-def _need(n):
-    return F.least(F.lit(EXTRA), F.ceil(F.lit(PERCENT) * n / 100)).cast("int")
-
-
-def _overlaps(pairs: DataFrame) -> DataFrame:
-    """``q, g, c`` where the query's head has enough shingles in the group's union."""
-    return (
-        pairs.groupBy("q", "g")
-        .agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
-        .where(F.col("c") >= _need(F.col("n")))
-        .select("q", "g", "c")
+def opened(sets: DataFrame, queries: DataFrame, members: DataFrame) -> DataFrame:
+    """Links ``a, b`` between the queries and the members of each ``pair`` (both
+    ``pair, node, component``; ``pair`` is the group opened)."""
+    rows = _cells(
+        sets.select("node", "n", "set"), queries, members, F.sum("n"), CELL_SHINGLES
     )
+    return rows.groupBy("pair", "q", "m").applyInArrow(_compare, "a bigint, b bigint")
 
 
-def _placed(tokens: DataFrame, groups: DataFrame) -> DataFrame:
-    """The matrix: shingles with the documents and groups that hold them, where more
-    than one group does."""
-    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
-    rows = tokens.join(groups.join(sizes, "g"), "node")
-    several = rows.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y"))
-    several = several.where("x <> y").select("token")
-    return stored(rows.join(several, "token", "left_semi"), "matrix")
+def _need(n):
+    return F.least(F.lit(EXTRA), F.ceil(F.lit(PERCENT) * n / 100)).cast("int")
 
 
-def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """Groups after links between documents."""
-    by = groups.select(F.col("node"), F.col("g"))
+def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, component`` after links between documents."""
     ends = (
-        links.join(by.select(F.col("node").alias("a"), F.col("g").alias("ga")), "a")
-        .join(by.select(F.col("node").alias("b"), F.col("g").alias("gb")), "b")
-        .select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+        links.join(parts.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a")
+        .join(parts.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
+        .select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         .where("a <> b")
     )
-    roots = components(ends).select(F.col("node").alias("g"), "root")
-    out = groups.join(roots, "g", "left").select(
-        "node", F.coalesce("root", "g").alias("g")
+    roots = components(ends).select(F.col("node").alias("component"), "root")
+    out = parts.join(roots, "component", "left").select(
+        "node", F.coalesce("root", "component").alias("component")
+    )
+    return stored(out, "parts")
+
+
+def _to_leaders(active: DataFrame, keys: DataFrame) -> DataFrame:
+    """Each document against the leader of its group."""
+    own = F.col("node").alias("component")
+    queries = keys.where("node <> g").select(F.col("g").alias("pair"), "node", own)
+    leaders = queries.select("pair", F.col("pair").alias("node")).distinct()
+    links = opened(active, queries, leaders.select("pair", "node", own))
+    return _merged(keys.select("node", own), stored(links, "found"))
+
+
+def _to_largest(active: DataFrame, tokens: DataFrame, parts: DataFrame) -> DataFrame:
+    """Each document against the largest component that has enough of its head."""
+    size = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    rows = stored(tokens.join(parts.join(size, "component"), "node"), "matrix")
+    top = rows.groupBy("token").agg(F.max(F.struct("size", "component")).alias("top"))
+    pairs = rows.join(top, "token").where("component <> top.component")
+    enough = (
+        pairs.groupBy("node", "component", F.col("top.component").alias("pair"))
+        .agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+        .where(F.col("c") >= _need(F.col("n")))
+    )
+    best = enough.groupBy("node", "component").agg(
+        F.max_by("pair", F.struct("c", "pair")).alias("pair")
+    )
+    queries = stored(best.select("pair", "node", "component"), "openings")
+    members = parts.join(
+        queries.select(F.col("pair").alias("component")).distinct(), "component", "left_semi"
+    ).select(F.col("component").alias("pair"), "node", "component")
+    return _merged(parts, stored(opened(active, queries, members), "found"))
+
+
+def _alike(tokens: DataFrame, keys: DataFrame) -> DataFrame:
+    """``node, g`` after groups were put together that have half of one's union in
+    common, so that a large group of near copies is one group."""
+    union = stored(tokens.join(keys, "node").select("token", "g").distinct(), "unions")
+    sizes = union.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+    rows = union.join(sizes, "g")
+    top = rows.groupBy("token").agg(F.max(F.struct("size", "g")).alias("top"))
+    near = (
+        rows.join(top, "token")
+        .where("g <> top.g")
+        .groupBy(F.col("g").alias("a"), F.col("top.g").alias("b"))
+        .agg(F.count(F.lit(1)).alias("c"), F.first("size").alias("size"))
+        .where("2 * c >= size")
+    )
+    roots = components(stored(near.select("a", "b"), "near"))
+    out = keys.join(roots.select(F.col("node").alias("g"), "root"), "g", "left")
+    return stored(out.select("node", F.coalesce("root", "g").alias("g")), "alike")
+
+
+def _promise(group: pa.Table) -> pa.Table:
+    """Documents of a cell that may link with one of another component. A bit that
+    one bitmap has and the other lacks stands for a shingle that only one has."""
+    if group.num_rows == 0:
+        return pa.table([pa.array([], pa.int64())] * 2, ["pair", "node"])
+    bits = np.frombuffer(b"".join(group["bits"].to_pylist()), np.uint64)
+    bits = bits.reshape(group.num_rows, -1)
+    n = group["n"].to_numpy()
+    component = group["component"].to_numpy()
+    query = np.array(group["query"].to_pylist(), bool)
+    members = np.flatnonzero(~query)
+    hit = np.zeros(group.num_rows, bool)
+    for i in np.flatnonzero(query):
+        near = members[
+            (component[members] != component[i])
+            & (100 * n[members] >= PERCENT * n[i])
+            & (100 * n[i] >= PERCENT * n[members])
+        ]
+        if not len(near):
+            continue
+        other = bits[near]
+        only = np.bitwise_count(bits[i] & ~other).sum(1)
+        theirs = np.bitwise_count(other & ~bits[i]).sum(1)
+        most = np.minimum(n[i] - only.astype(np.int64), n[near] - theirs.astype(np.int64))
+        may = near[100 * most >= PERCENT * (n[i] + n[near] - most)]
+        hit[may] = True
+        hit[i] |= len(may) > 0
+    at = pa.array(np.flatnonzero(hit))
+    return pa.table([group["pair"].take(at), group["node"].take(at)], ["pair", "node"])
+
+
+def _to_all(
+    active: DataFrame, tokens: DataFrame, keys: DataFrame, parts: DataFrame
+) -> DataFrame:
+    """All groups that may still hold a link between components. Bitmaps are
+    compared first; only sets that they leave in doubt are sent."""
+    groups = stored(_alike(tokens, keys).join(parts, "node"), "groups")
+    sizes = active.select("node", "n")
+    about = stored(
+        groups.join(sizes, "node").groupBy("g").agg(
+            F.min("n").alias("least"),
+            F.max("n").alias("most"),
+            F.min("component").alias("x"),
+            F.max("component").alias("y"),
+        ),
+        "about",
     )
-    return stored(out, "groups")
+    union = stored(
+        tokens.join(groups, "node").select("token", "g").distinct().join(about, "g"), "matrix"
+    )
+    one, two = union.alias("s"), union.alias("t")
+    open_ = (F.col("s.x") != F.col("t.y")) | (F.col("s.y") != F.col("t.x"))
+    fit = (100 * F.col("s.most") >= PERCENT * F.col("t.least")) & (
+        100 * F.col("t.most") >= PERCENT * F.col("s.least")
+    )
+    met = one.join(
+        two, (F.col("s.token") == F.col("t.token")) & (F.col("s.g") <= F.col("t.g")) & open_ & fit
+    )
+    pairs = (
+        met.groupBy(F.col("s.g").alias("g1"), F.col("t.g").alias("g2"))
+        .agg(
+            F.count(F.lit(1)).alias("c"),
+            F.first(F.least("s.least", "t.least")).alias("n"),
+        )
+        .where(F.col("c") >= _need(F.col("n")))
+        .select("g1", "g2")
+    )
+    pairs = stored(pairs, "openings")
+    # A group is opened once, for the documents of all groups that qualify.
+    queries = pairs.join(groups, F.col("g1") == F.col("g")).select(
+        F.col("g2").alias("pair"), "node", "component"
+    )
+    members = groups.join(
+        pairs.select(F.col("g2").alias("g")).distinct(), "g", "left_semi"
+    ).select(F.col("g").alias("pair"), "node", "component")
+    doubt = _cells(
+        active.select("node", "n", "bits"), queries, members, F.count(F.lit(1)), CELL_BITMAPS
+    )
+    doubt = doubt.groupBy("pair", "q", "m").applyInArrow(_promise, "pair bigint, node bigint")
+    doubt = stored(doubt.distinct(), "doubt")
+    left = lambda side: side.join(doubt, ["pair", "node"], "left_semi")
+    return _merged(parts, stored(opened(active, left(queries), left(members)), "found"))
 
 
 def linked_groups(active: DataFrame) -> DataFrame:
-    """``node, g``: component of every set that may link."""
+    """``node, component`` of every set that may link."""
     tokens = stored(
         active.select("node", "n", F.explode("tokens").alias("token")).distinct(), "tokens"
     )
     keys = tokens.groupBy("node").agg(F.min("token").alias("key"))
     leaders = keys.groupBy("key").agg(F.min("node").alias("g"))
     keys = stored(keys.join(leaders, "key").select("node", "g"), "keys")
-    first = keys.where("node <> g").select(F.col("node").alias("q"), "g")
-    links = opened(active, first, first.select("g", F.col("g").alias("node")).distinct())
-    links = links.select(F.col("a").alias("node"), F.col("b").alias("g")).distinct()
-    groups = stored(
-        keys.select("node")
-        .join(links, "node", "left")
-        .select("node", F.coalesce("g", "node").alias("g")),
-        "groups",
-    )
-
-    matrix = _placed(tokens, groups)
-    top = matrix.groupBy("token").agg(F.max(F.struct("size", "g")).alias("top"))
-    pairs = matrix.join(top, "token").where("g <> top.g").select(
-        F.col("node").alias("q"), F.col("top.g").alias("g"), "n"
-    )
-    best = _overlaps(pairs).groupBy("q").agg(F.max_by("g", F.struct("c", "g")).alias("g"))
-    best = stored(best, "openings")
-    groups = _merged(groups, stored(opened(active, best, groups), "links"))
-
-    matrix = _placed(tokens, groups)
-    unions = matrix.select("token", F.struct("size", "g").alias("other")).distinct()
-    pairs = matrix.join(unions, "token").where(
-        F.struct("size", "g") < F.col("other")
-    ).select(F.col("node").alias("q"), F.col("other.g").alias("g"), "n")
-    rest = stored(_overlaps(pairs).select("q", "g"), "openings")
-    return _merged(groups, stored(opened(active, rest, groups), "links"))
+    parts = _to_leaders(active, keys)
+    parts = _to_largest(active, tokens, parts)
+    return _to_all(active, tokens, keys, parts)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -368,14 +483,14 @@ def classes(docs: DataFrame) -> DataFrame:
     active = stored(
         reps.mapInArrow(
             lambda it: _active_rows(it, levels),
-            "node bigint, n bigint, tokens array<bigint>, set binary",
+            "node bigint, n bigint, tokens array<bigint>, set binary, bits binary",
         ),
         "active",
     )
     groups = linked_groups(active)
     # Classes outside all groups are components of their own.
     part = named.join(groups, "node", "left").select(
-        *same, "id", "hash", F.coalesce("g", "node").alias("g")
+        *same, "id", "hash", F.coalesce("component", "node").alias("g")
     )
     least = part.groupBy("g").agg(F.min(F.struct("id", "hash")).alias("least"))
     ends = part.join(least, "g").select(*same, "least")
