@@ -3,12 +3,14 @@
 A task packs the keys of a block of documents by bucket of the key: one row per
 block and bucket, with arrays of owners and keys. A shuffle brings a bucket
 together; the keys that match are sent back to their documents. Before the shuffle
-each block keeps one item per key, so a key that most documents hold costs one item
-per block; what a block can settle alone goes along as a bit mask.
+each block keeps one item per key and row of the key's least id, so a key that most
+documents hold costs one item per block unless they share an id; what a block can
+settle alone goes along as a bit mask, and its key without an owner.
 
 An owner is a document row: its id (which orders owners; null is the largest) and
-a hash of its text. Rows equal in both get equal results. A key that comes back
-stands for all items of its document that have it.
+a hash of its text. Rows equal in both get equal results; rows equal in id alone
+each get their own. A key that comes back stands for all items of its document that
+have it.
 
 Without ``checks`` only 32 bits of a key are sent, beside its bucket: a filter with
 few false matches. With ``checks`` the 64 bits of the key and 32 more are compared.
@@ -88,6 +90,15 @@ def _sorted(keys: np.ndarray, checks: np.ndarray | None) -> tuple[np.ndarray, np
     return order.astype(np.int32), starts
 
 
+def _twins(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Of each row, the first one that is equal in id and hash."""
+    order = np.lexsort((hashes, ids))
+    starts = _groups(order, ids, hashes)
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.repeat(order[starts], np.diff(np.append(starts, len(order))))
+    return out
+
+
 def pack(
     ids: np.ndarray,
     hashes: np.ndarray,
@@ -114,22 +125,25 @@ def pack(
     done, least = _judge(order, starts, ids[owner], mode)
     settled = np.zeros(n, bool)
     settled[order[done]] = True
-    # The first item of the least owner is sent for all of its key.
+    # Of each row with a key's least id the first item is sent. Where these are settled
+    # the key needs one item for the other blocks, and none comes back.
     lead = np.flatnonzero(ids[owner][order] == least)
     group = np.searchsorted(starts, lead, "right") - 1
-    sent = np.sort(order[lead[np.unique(group, return_index=True)[1]]])
+    row = np.where(done[lead], 0, _twins(ids, hashes)[owner[order[lead]]])
+    sent = np.sort(order[lead[np.unique(group * len(ids) + row, return_index=True)[1]]])
     bucket = bucket_of(keys[sent], n_buckets)
-    by = np.argsort(bucket, kind="stable")
+    by = np.lexsort((settled[sent], bucket))
     sent, bucket = sent[by], bucket[by]
-    cuts = _groups(np.arange(len(bucket)), bucket)
+    free = settled[sent]
+    cuts = _groups(np.arange(len(bucket)), bucket, free)
     for lo, hi in zip(cuts, np.append(cuts[1:], len(sent)), strict=True):
         part = sent[lo:hi]
         who, counts = np.unique(owner[part], return_counts=True)
         yield {
             "bucket": int(bucket[lo]),
-            "ids": ids[who].tobytes(),
-            "hashes": hashes[who].tobytes(),
-            "counts": counts.astype(np.int32).tobytes(),
+            "ids": None if free[lo] else ids[who].tobytes(),
+            "hashes": None if free[lo] else hashes[who].tobytes(),
+            "counts": None if free[lo] else counts.astype(np.int32).tobytes(),
             # The bucket and these bits are what is compared.
             "keys": keys[part].tobytes()
             if checks is not None
@@ -189,14 +203,20 @@ def _matcher(mode: str):
         is_mask = pc.is_valid(group["mask"])
         masks, rows = group.filter(is_mask), group.filter(pc.invert(is_mask))
         del group
+        exact = bool(len(rows)) and rows["checks"][0].is_valid
+        # Keys without an owner last.
+        is_free = pc.is_null(rows["counts"])
+        rows, free = rows.filter(pc.invert(is_free)), rows.filter(is_free)
         ids = _flat(rows["ids"], np.int64)
         hashes = _flat(rows["hashes"], np.int64)
         counts = _flat(rows["counts"], np.int32)
-        exact = bool(len(rows)) and rows["checks"][0].is_valid
+        rows = pa.concat_tables([rows, free])
+        del free
         keys = _flat(rows["keys"], np.uint64 if exact else np.uint32)
         checks = _flat(rows["checks"], np.uint32) if exact else None
         del rows
-        owner = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+        owner = np.full(len(keys), len(ids), np.int32)
+        owner[: counts.sum()] = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
         out = {
             "id": _flat(masks["ids"], np.int64),
             "hash": _flat(masks["hashes"], np.int64),
@@ -206,10 +226,13 @@ def _matcher(mode: str):
         if len(keys):
             order, starts = _sorted(keys, checks)
             del checks
-            # Ranks compare like ids and take less room.
+            # Ranks compare like ids and take less room. What has no owner is held
+            # by more than one: it is like no other id.
             rank = np.unique(ids, return_inverse=True)[1].astype(np.int32)
+            rank = np.append(rank, np.int32(len(ids)))
             done, _ = _judge(order, starts, rank[owner], mode)
             hit = np.sort(order[done])
+            hit = hit[owner[hit] < len(ids)]
             who = owner[hit]
             cuts = _groups(np.arange(len(who)), who)
             ends = np.append(cuts, len(hit))[1:]

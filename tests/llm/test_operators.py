@@ -6,6 +6,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,12 +15,14 @@ from gradus.llm import (
     byte_dedup,
     decontaminate,
     jaccard_join,
+    match,
     mixing,
     quality_rules,
     substring_dedup,
     token_counts,
     url_filter,
 )
+from gradus.llm.blocks import mix
 from gradus.llm.components import components
 
 SCHEMA = (
@@ -108,6 +112,42 @@ def test_removed_words(docs, empty):
     assert substring_dedup.removed_words(empty).collect() == []
 
 
+@pytest.mark.parametrize("later", [True, False])
+def test_rows_with_one_id_in_a_block(later):
+    """Every row gets its own flags, also where rows of one id share a block."""
+    rng = np.random.default_rng(3)
+    mode = match.LATER if later else match.SHARED
+    for _ in range(60):
+        blocks, packed = [], []
+        for _ in range(3):
+            n = int(rng.integers(1, 6))
+            ids = rng.choice([1, 2, 3, match.NULL_ID], n)
+            hashes = rng.integers(0, 1 << 40, n)
+            counts = rng.integers(0, 6, n)
+            first = np.append(0, np.cumsum(counts))
+            keys = mix(rng.integers(0, 12, counts.sum()).astype(np.uint64))
+            checks = keys.astype(np.uint32) if later else None
+            blocks.append((ids, hashes, first, keys))
+            packed += match.pack(ids, hashes, first, keys, 8, mode, checks)
+        flagged = {}
+        if packed:
+            table = pa.Table.from_batches(match.packed_batches(iter(packed)))
+            for b in range(8):
+                group = table.filter(pc.equal(table["bucket"], b))
+                for r in match._matcher(mode)(group).to_pylist():
+                    flagged.setdefault((r["id"], r["hash"]), []).append(r)
+        held = {}
+        for ids, _, first, keys in blocks:
+            for i, k in zip(np.repeat(ids, np.diff(first)), keys, strict=True):
+                held.setdefault(int(k), set()).add(int(i))
+        for ids, hashes, first, keys in blocks:
+            flags = pa.array([flagged.get((i, h)) for i, h in zip(ids, hashes, strict=True)])
+            got = match.read_flags(flags, keys, first, not later)
+            owner = np.repeat(ids, np.diff(first))
+            for i, k, hit in zip(owner, keys, got, strict=True):
+                assert hit == (min(held[int(k)]) < i if later else len(held[int(k)]) > 1)
+
+
 def test_deduplicate_keeps_columns(docs, texts, empty):
     out = substring_dedup.deduplicate(docs)
     assert out.schema == docs.schema
