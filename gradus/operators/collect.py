@@ -78,7 +78,9 @@ def collect_outcomes(
     ``skip_pages_by_title``, by the titles of records without keys. Tasks without
     problem or solution give no row."""
     fresh = skip(problem_pages, existing)
-    parsed = problem_records(page_parts(fresh.select(*TASK_KEYS, "html")))
+    parsed = problem_records(
+        page_parts(fresh.select(*TASK_KEYS, "html"), statement_only=True)
+    )
     problems = one_per_key(parsed, TASK_KEYS, error="error").withColumnRenamed(
         "error", "__problem_error"
     )

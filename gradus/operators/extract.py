@@ -14,6 +14,10 @@ from gradus.functions import text as T
 from gradus.functions.outline import page_outline
 from gradus.sources.schemas import SAMPLE_TESTS
 
+#: Bytes of a part's paragraphs that a row can hold beside their joined text: a Spark
+#: row ends at 2 GB.
+ROW_BYTES = 1 << 30
+
 
 def _elements() -> Column:
     return F.col("__outline.elements")
@@ -67,11 +71,14 @@ def _outlined(pages: DataFrame, html: str) -> DataFrame:
 # --- Problem pages -------------------------------------------------------------
 
 
-def page_parts(pages: DataFrame, html: str = "html") -> DataFrame:
+def page_parts(
+    pages: DataFrame, html: str = "html", statement_only: bool = False
+) -> DataFrame:
     """Parse problem pages. One row per page: the other columns of ``pages``,
     ``title`` (null if absent), ``has_statement``, ``has_english``,
     ``parse_error`` and ``parts``, the parts of the English statement in page
-    order with what their section holds.
+    order with what their section holds. With ``statement_only`` no paragraphs of other
+    parts are joined. Paragraphs of more than ``ROW_BYTES`` are null and ``overlong``.
     """
     kept = [c for c in pages.columns if c != html]
     scope = _outlined(pages, html).withColumns(
@@ -131,13 +138,18 @@ def page_parts(pages: DataFrame, html: str = "html") -> DataFrame:
     found = sections.withColumn("__found", F.transform(F.col("__heads"), find_in))
 
     def part(f: Column, i: Column) -> Column:
+        header = F.lower(_text(f["h3"]))
+        n_bytes = F.aggregate(f["p"], F.lit(0).cast("bigint"), lambda n, p: n + p["size"])
+        fits = n_bytes <= ROW_BYTES
+        asked = fits & header.contains("problem statement") if statement_only else fits
         return F.struct(
             i.alias("part_idx"),
             F.get(F.col("__links"), i)["next"].alias("next_idx"),
             F.get(F.col("__sections"), i).isNotNull().alias("has_section"),
-            F.lower(_text(f["h3"])).alias("header"),
+            header.alias("header"),
             F.lower(_text(f["part_h3"])).alias("part_header"),
-            F.transform(f["p"], _text).alias("paragraphs"),
+            F.when(asked, F.transform(f["p"], _text)).alias("paragraphs"),
+            F.coalesce(~fits, F.lit(False)).alias("overlong"),
             _text(f["div"]).alias("content"),
             _text(f["pre"]).alias("sample"),
         )
@@ -276,9 +288,14 @@ def problem_records(parsed: DataFrame) -> DataFrame:
         section("input_format"),
         section("output_format"),
         pair_samples(F.col("__samples")).alias("sample_tests"),
-        F.coalesce(F.col("parse_error"), _sample_error(F.col("__samples"))).alias(
-            "error"
-        ),
+        F.coalesce(
+            F.col("parse_error"),
+            F.when(
+                _last_of("statement")["overlong"],
+                F.lit("text of paragraphs within one another is too long for a row"),
+            ),
+            _sample_error(F.col("__samples")),
+        ).alias("error"),
     )
 
 

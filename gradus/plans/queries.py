@@ -202,7 +202,9 @@ def pair_samples(spark, sf_dir):
 
 
 def _records(spark, sf_dir):
-    return X.problem_records(X.page_parts(D.problem_pages(spark, sf_dir)))
+    return X.problem_records(
+        X.page_parts(D.problem_pages(spark, sf_dir), statement_only=True)
+    )
 
 
 @query

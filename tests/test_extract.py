@@ -285,3 +285,20 @@ def test_long_pages_take_linear_time(spark):
     assert time.perf_counter() - began < 6
     assert got["good"].description.count("\n") == 15_999 and got["good"].error is None
     assert "paragraphs within one another" in got["bad"].error
+
+
+def test_paragraphs_left_open_at_any_depth(spark):
+    opened = "".join(f"<p>a{i}" for i in range(65))
+    expected = "\n".join("".join(f"a{i}" for i in range(k, 65)) for k in range(65))
+    parts = [part("Problem Statement", opened), part("Constraints", f"<div>N{opened}</div>"), IN1, OUT1]
+    rows = [("c", "t", page(*parts))]
+    for statement_only in (False, True):
+        parsed = X.page_parts(spark.createDataFrame(rows, KEYS), statement_only=statement_only)
+        got = X.problem_records(parsed).first()
+        assert got.error is None and got.title == "A - Title"
+        assert got.description == expected
+        assert got.constraints == "N" + expected.split("\n")[0]
+        assert samples(got) == [("1\n2", "3")]
+    table = f"<div>{opened}</div><table><tr><td><a href='/s/7'>x</a></td></tr></table>"
+    listed = X.listed_submissions(spark.createDataFrame([("c", table)], "contest_id string, html string"))
+    assert X.first_listed(listed).first()[1:] == ("7", None)
