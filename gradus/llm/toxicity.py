@@ -14,9 +14,9 @@ own; they are fitted to the sample but drawn towards a prior in which quotation
 counts less than abuse.
 
 Learning takes at most ``SAMPLE_ROWS`` labelled texts that aren't held out. Term
-counts are summed in Spark; at most ``CANDIDATES`` terms of toxic texts come to the
-driver and at most ``TERMS`` are chosen. Scoring is one
-narrow pass over whole texts.
+counts of toxic and other texts are summed, joined and filtered by share in Spark;
+every term that passes comes to the driver, so their number is bounded by the sample
+alone. Scoring is one narrow pass over whole texts.
 
 Defined results: null and empty texts have no hits and get the lowest score; labels
 that are null or without text teach nothing; without toxic labels the lexicon is
@@ -26,6 +26,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,9 +47,8 @@ HELD_OUT, HELD_AT = 3, 1
 PREFIXES = range(4, 13)
 #: A term is in so many toxic texts at least, and toxic texts are such a share.
 LEAST_TEXTS, LEAST_SHARE = 4, 0.95
-TERMS = 2_000
-#: Terms of toxic texts that are looked for in the others, the most frequent first.
-CANDIDATES = 100_000
+#: Slots by which terms of other texts that no toxic one has are left out early.
+SLOTS = 1 << 24
 FUZZY_FROM, FUZZY_STRENGTH = 5, 5.5
 #: Log-odds that count as one hit, and the most hits that count.
 UNIT, MOST = 5.0, 6.0
@@ -261,13 +262,21 @@ def _terms_of(text: str | None) -> set[tuple[str, bool]]:
     return found | {(w[:n], True) for w in words for n in PREFIXES if len(w) >= n}
 
 
+def _slot(term: str) -> int:
+    return zlib.crc32(term.encode()) % SLOTS
+
+
 def _count_terms(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
-    """In how many texts each term is (of those wanted, if they are given)."""
+    """In how many texts each term is (of those whose slot is wanted, if these are
+    given)."""
     for batch in batches:
         counts: Counter = Counter()
         for text in batch["text"].to_pylist():
             found = _terms_of(text)
-            counts.update(found if wanted is None else found & wanted.value)
+            if wanted is not None:
+                slots = wanted.value
+                found = {t for t in found if slots[_slot(t[0])]}
+            counts.update(found)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([t for t, _ in counts], pa.string()),
@@ -292,12 +301,14 @@ def choose_terms(
     whole words only where no beginning stands for them. ``odds``: of other texts
     to toxic ones."""
     stems = {t: n for t, beginning, n, _ in rows if beginning}
+    names, place = sorted(stems), {t: i for i, t in enumerate(stems)}
     chosen: set[tuple[str, bool]] = set()
     for root in sorted(stems, key=lambda t: (len(t), t)):
         if any(root[:n] in stems for n in PREFIXES if n < len(root)):
             continue
         best = root
-        for longer in sorted((t for t in stems if t.startswith(root)), key=len):
+        under = names[bisect_left(names, root) : bisect_left(names, root + chr(0x10FFFF))]
+        for longer in sorted(under, key=lambda t: (len(t), place[t])):
             if stems[longer] >= 0.95 * stems[root]:
                 best = longer
         chosen.add((best, True))
@@ -311,8 +322,28 @@ def choose_terms(
     )
 
 
+def passing_terms(sample: DataFrame) -> list[tuple[str, bool, int, int]]:
+    """Every term that enough toxic texts vouch for: ``term, beginning``, toxic texts
+    and others that have it. ``sample``: ``text, toxic``."""
+    toxic = stored(
+        _term_counts(sample.where("toxic")).where(F.col("texts") >= LEAST_TEXTS), "toxic_terms"
+    )
+    slots = np.zeros(SLOTS, bool)
+    held = toxic.select(F.pmod(F.crc32("term"), F.lit(SLOTS)).alias("slot")).distinct()
+    slots[[r.slot for r in held.collect()]] = True
+    wanted = sample.sparkSession.sparkContext.broadcast(slots)
+    other = _term_counts(sample.where("NOT toxic"), wanted).withColumnRenamed("texts", "others")
+    others = F.coalesce("others", F.lit(0))
+    rows = (
+        toxic.join(other, ["term", "beginning"], "left")
+        .select("term", "beginning", "texts", others.alias("others"))
+        .where(F.col("texts") >= F.lit(LEAST_SHARE) * (F.col("texts") + F.col("others")))
+        .orderBy(F.desc("texts"), "term", "beginning")
+    )
+    return [tuple(r) for r in rows.collect()]
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    spark = docs.sparkSession
     chosen = (
         labels.select("doc_id", F.col("toxic").alias("_t"))
         .where("doc_id IS NOT NULL AND _t IS NOT NULL")
@@ -327,20 +358,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         .select("doc_id", "text", (F.col("_t") != 0).alias("toxic")),
         "labelled",
     )
-    toxic = (
-        _term_counts(sample.where("toxic"))
-        .where(F.col("texts") >= LEAST_TEXTS)
-        .orderBy(F.desc("texts"), "term", "beginning")
-        .limit(CANDIDATES)
-        .collect()
-    )
-    wanted = spark.sparkContext.broadcast({(r.term, r.beginning) for r in toxic})
-    other = {
-        (r.term, r.beginning): r.texts
-        for r in _term_counts(sample.where("NOT toxic"), wanted).collect()
-    }
-    rows = [(r.term, r.beginning, r.texts, other.get((r.term, r.beginning), 0)) for r in toxic]
-    rows = [r for r in rows if r[2] >= LEAST_SHARE * (r[2] + r[3])][:TERMS]
+    rows = passing_terms(sample)
     size = sample.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
     terms = choose_terms(rows, (size[1] + 1) / (size[0] + 1))
 
@@ -364,7 +382,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, score, predicted`` and counts of hits, for every row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most TERMS terms
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     names = ["score", "n_exact", "n_exact_quoted", "n_misspelled", "n_misspelled_quoted"]
     kinds = [T.DoubleType()] + [T.LongType()] * 4

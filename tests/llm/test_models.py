@@ -80,6 +80,20 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).collect() == []
 
 
+def test_no_term_is_cut(spark):
+    """More terms pass than the earlier bounds of 100,000 and 2,000; rare ones as well
+    as frequent ones, and their beginnings count as one term."""
+    name = lambda k: "".join(chr(97 + int(c)) for c in f"{k:05d}")[::-1]
+    rare = [name(k) for k in range(2_500)]
+    common = " ".join("com" + w for w in rare)
+    rows = [(f"{' '.join(rare)} {common}", True)] * 4 + [(common, True)] * 2 + [(common, False)]
+    found = toxicity.passing_terms(spark.createDataFrame(rows, "text string, toxic boolean"))
+    assert {(w, False, 4, 0) for w in rare} <= set(found)
+    assert not any(t.startswith("com") and not w for t, w, _, _ in found if len(t) == 8)
+    terms = {t for t, _, _ in toxicity.choose_terms(found)}
+    assert all(any(w.startswith(t) for t in (w[:4], w) if t in terms) for w in rare)
+
+
 def test_quotation_counts_less():
     hits = toxicity.Hits([("idiot", False, 9.0)])
     texts = ['he wrote "you are an idiot" to me', "you are an idiot to me", None, "an 1diot"]
