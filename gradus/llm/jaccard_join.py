@@ -11,7 +11,8 @@ being the smaller size. The matrix holds, for each group of similar documents, t
 union of its members' heads; the number of a query's head shingles in it bounds the
 overlap with every member, and only groups that reach the bound are opened, which
 means comparing the query's whole set with the members'. Documents of one component
-are never compared.
+are never compared: only components are made, not all links, and a document's number
+of links is not known.
 
 1. Documents that have their least shared shingle in common form a group around one
    leader, and each is compared with it.
