@@ -70,3 +70,33 @@ r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.b FROM r JOIN e ON
 SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id
 FROM d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+ORACLES["op12_filter_audit"] = """
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+f AS (SELECT doc_id, part,
+    (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+    + 4 * (100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * (doc_id > least)::INT AS flags FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+n AS (SELECT part, flags, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY part, flags),
+o(filter_order, used) AS (SELECT '', 0 UNION ALL
+  SELECT filter_order || chr(65 + i::INT), used | (1 << i::INT) FROM o, range(5) r(i) WHERE used & (1 << i::INT) = 0),
+s AS (SELECT filter_order, k::INT AS step, 1 << (ascii(filter_order[k]) - 65) AS own,
+    coalesce(list_sum([1 << (ascii(c) - 65) FOR c IN string_split(filter_order[1:k-1], '') IF c <> '']), 0)::INT AS before
+  FROM o, range(1, 6) r(k) WHERE length(filter_order) = 5),
+c AS (SELECT part, filter_order, step, own,
+    sum(n) FILTER (flags & (own | before) = 0) AS kept,
+    sum(n) FILTER (flags & own <> 0 AND flags & before = 0) AS removed,
+    sum(n) FILTER (flags & own <> 0 AND flags & before <> 0) AS redundant,
+    sum(n) FILTER (flags = own) AS unique_fails,
+    sum(good) FILTER (flags & own <> 0 AND flags & before = 0) AS good_lost,
+    sum(toxic) FILTER (flags & own <> 0 AND flags & before = 0) AS toxic_lost
+  FROM n, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  (sum(coalesce(removed, 0)) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM c
+"""

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from gradus.llm import (
     byte_dedup,
     decontaminate,
+    filter_audit,
     jaccard_join,
+    language_id,
     mixing,
     quality_cnn,
     quality_rules,
@@ -83,3 +85,16 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
+@query
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.learn(docs))
