@@ -186,17 +186,16 @@ class Model:
                 margins[:, b] -= d
                 sure[:, a] += 1 / (1 + np.exp(-np.clip(2 * d, -30, 30)))
                 sure[:, b] += 1 / (1 + np.exp(np.clip(2 * d, -30, 30)))
-            best = np.lexsort((margins, votes), axis=1)[:, ::-1] if len(languages) > 1 else np.zeros((len(own), 1), int)
-            # Of languages equal in both the first by name.
-            top = best[:, 0]
-            for i in range(len(languages) - 1, -1, -1):
-                same = (votes[:, i] == votes[np.arange(len(own)), top]) & (
-                    margins[:, i] == margins[np.arange(len(own)), top]
-                )
-                top = np.where(same, i, top)
+            # Most votes, then the largest margins, then the first name.
+            top = np.zeros(len(own), int)
+            every = np.arange(len(own))
+            for i in range(1, len(languages)):
+                more = votes[:, i] - votes[every, top]
+                wide = margins[:, i] > margins[every, top]
+                top = np.where((more > 0) | ((more == 0) & wide), i, top)
             names[own] = np.array(languages, object)[top]
             if pairs:
-                score[own] *= sure[np.arange(len(own)), top] / (len(languages) - 1)
+                score[own] *= sure[every, top] / (len(languages) - 1)
             column += len(pairs)
         return names.tolist(), np.clip(score, 0.0, 1.0)
 
@@ -285,18 +284,17 @@ def learn(
         .withColumn("nth", F.row_number().over(order))
         .where(F.col("nth") <= each)
         .select("doc_id", "lang", "hash")
+        .distinct()
         .orderBy("doc_id", "lang", "hash")
         .limit(sample_rows)
-        .distinct()
-    )
-    texts = known.withColumn("hash", F.xxhash64("text")).join(
-        F.broadcast(chosen), ["doc_id", "lang", "hash"]
     )
-    # Rows that are repeated in the table would come once for each copy.
-    sample = texts.select("lang", "text").mapInArrow(
+    key = ["doc_id", "lang", "hash"]
+    texts = known.withColumn("hash", F.xxhash64("text")).join(F.broadcast(chosen), key)
+    # A row that is repeated in the table counts once: sample_rows texts at most.
+    sample = texts.dropDuplicates(key).select("lang", "text").mapInArrow(
         _sample_rows, "lang string, features binary, counts binary"
     )
-    rows = sample.orderBy("lang", "features", "counts").limit(sample_rows).collect()
+    rows = sample.orderBy("lang", "features", "counts").collect()
     counts = np.zeros((len(rows), WIDTH), np.float32)
     for i, row in enumerate(rows):
         counts[i, np.frombuffer(row["features"], np.uint16)] = np.frombuffer(row["counts"], np.uint32)

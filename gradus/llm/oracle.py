@@ -100,3 +100,31 @@ SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(rem
   (sum(coalesce(removed, 0)) OVER (PARTITION BY part, own))::BIGINT AS shapley
 FROM c
 """
+
+ORACLES["op11_prefix_trie"] = """
+WITH o AS (
+  SELECT conv_id AS c, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS turn,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, max(pos) AS n FROM o GROUP BY c),
+tab AS (SELECT list(y ORDER BY x0) AS t FROM (
+  SELECT range AS x0, list_reduce(list_prepend(range, range(8)), lambda v, j: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) AS y FROM range(256))),
+h AS (SELECT c, xor(list_reduce(list_prepend(4294967295, [ascii(x)::BIGINT FOR x IN string_split(c::VARCHAR, '')]),
+    lambda v, b: xor(v >> 8, t[1 + (xor(v, b) & 255)])), 4294967295) % 6 AS h FROM k, tab),
+cv AS (SELECT c, h, c - c % 100 AS head FROM h),
+b AS (
+  SELECT cv.c, o.pos, o.turn FROM cv JOIN o ON o.c = cv.head AND o.pos <= cv.h
+  UNION ALL SELECT cv.c, 1000 + o.pos, o.turn FROM cv JOIN o ON o.c = cv.c AND o.pos > cv.h),
+r AS (SELECT cv.c, coalesce(l, []) AS l FROM cv LEFT JOIN (SELECT c, list(turn ORDER BY pos) AS l FROM b GROUP BY c) USING (c)),
+p AS (SELECT c, len(l) AS n, d, l[1:d] AS path FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM r)),
+m AS (SELECT path, d, min(c) AS conv, count(*) AS n_convs,
+    (n_convs - 1) * CASE WHEN d = 0 THEN 0 ELSE length(any_value(path[d].t)) END AS own,
+    coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '') AS ends FROM p GROUP BY path, d),
+kids AS (SELECT path[1:d-1] AS path, count(*) AS n FROM m WHERE d > 0 GROUP BY 1),
+e AS (SELECT m.*, coalesce(kids.n, 0) AS n_children FROM m LEFT JOIN kids USING (path)),
+s AS (SELECT up, sum(own) AS saved, count(*) FILTER (n_children = 0) AS leaves
+  FROM (SELECT path[1:unnest(range(0, d + 1))] AS up, own, n_children FROM e) GROUP BY up)
+SELECT e.conv AS conv_id, e.d AS depth, par.conv AS parent_conv_id, e.n_convs, e.n_children, s.leaves AS n_leaves,
+  s.saved::BIGINT AS saved_tokens, sha256(e.ends) AS ends_sha256
+FROM e JOIN s ON s.up = e.path LEFT JOIN m par ON e.d > 0 AND par.path = e.path[1:e.d-1]
+"""

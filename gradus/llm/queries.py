@@ -13,6 +13,7 @@ from gradus.llm import (
     jaccard_join,
     language_id,
     mixing,
+    prefix_trie,
     quality_cnn,
     quality_rules,
     substring_dedup,
@@ -87,6 +88,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 @query
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(
