@@ -53,9 +53,9 @@ MIN_DISTINCT = 65
 MAX_CAPITALS = 5
 SYMBOLS = b"#$%&*|"
 #: Bytes of text of one shard.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 16 << 20
 #: Bytes of text whose distinct words one bucket holds.
-BUCKET_BYTES = 96 << 20
+BUCKET_BYTES = 32 << 20
 
 NULL_ID = np.iinfo(np.int64).max
 
@@ -63,30 +63,60 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 
 # A row is either a shard's matrix or, with a bucket, some of its words.
-_SHARD = pa.schema(
-    [
-        ("shard", pa.int64()),
-        ("bucket", pa.int32()),
-        ("words", pa.list_(pa.binary())),
-        ("places", pa.binary()),
-        ("ids", pa.list_(pa.int64())),
-        ("parts", pa.list_(pa.string())),
-        ("flags", pa.binary()),
-        ("digests", pa.binary()),
-        ("indptr", pa.binary()),
-        ("indices", pa.binary()),
-        ("data", pa.binary()),
-    ]
-)
 SHARD = (
-    "shard bigint, bucket int, words array<binary>, places binary, ids array<bigint>, "
-    "parts array<string>, flags binary, digests binary, indptr binary, indices binary, "
-    "data binary"
+    "shard bigint, bucket int, words binary, ids array<bigint>, parts array<string>, "
+    "flags binary, digests binary, indptr binary, indices binary, data binary"
 )
-CODES = "shard bigint, places binary, codes binary"
+_KINDS = {
+    "bigint": pa.int64(),
+    "int": pa.int32(),
+    "binary": pa.binary(),
+    "array<bigint>": pa.list_(pa.int64()),
+    "array<string>": pa.list_(pa.string()),
+}
+_SHARD = pa.schema([(n, _KINDS[k]) for n, k in (c.split() for c in SHARD.split(", "))])
+CODES = "shard bigint, bucket int, ranks binary"
 ROWS = "id bigint, part string, n_words bigint, n_distinct bigint, flags int, digest binary"
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers below 2**32, compressed: first all low bytes, then all second ones, and
+    so on. Before it stands how many there are."""
+    planes = np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4).T
+    packed = pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    return len(values).to_bytes(8, "little") + packed
+
+
+def unsqueezed(held: bytes) -> np.ndarray:
+    n = int.from_bytes(held[:8], "little")
+    if not n:
+        return np.zeros(0, np.uint32)
+    planes = pa.decompress(held[8:], 4 * n, codec="zstd", asbytes=True)
+    planes = np.frombuffer(planes, np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _joined(words: pa.Array) -> bytes:
+    """Words, none of which holds a line end, as lines."""
+    _, at, held = words.buffers()
+    at = np.frombuffer(at, np.int64)[words.offset : words.offset + len(words) + 1]
+    text = np.frombuffer(held, np.uint8)[at[0] : at[-1]]
+    lines = np.full(len(text) + len(words), 10, np.uint8)
+    lines[np.arange(len(text)) + np.repeat(np.arange(len(words)), np.diff(at))] = text
+    packed = pa.compress(lines.tobytes(), codec="zstd", asbytes=True)
+    return len(lines).to_bytes(8, "little") + packed
+
+
+def _lines(held: bytes) -> pa.Array:
+    n = int.from_bytes(held[:8], "little")
+    text = np.frombuffer(pa.decompress(held[8:], n, codec="zstd", asbytes=True), np.uint8)
+    ends = np.flatnonzero(text == 10)
+    offsets = np.append(0, ends + 1 - np.arange(1, len(ends) + 1)).astype(np.int64)
+    data = pa.py_buffer(text[text != 10])
+    kind = pa.large_binary()
+    return pa.Array.from_buffers(kind, len(ends), [None, pa.py_buffer(offsets), data])
+
+
 def _digests(block: Block) -> bytes:
     held = memoryview(np.ascontiguousarray(block.data))
     ends = block.offsets.tolist()
@@ -136,39 +166,44 @@ class _Shard:
     ) -> Iterator[dict]:
         """The matrix over the shard's own words, and its words by bucket."""
         coded = self.words().dictionary_encode()
+        self.held, self.lengths = [], []
+        words = coded.dictionary
+        # The shard's own numbers follow the buckets, so a bucket's words are a range.
+        bucket = np.zeros(0, np.int32)
+        if len(words):
+            _, at, held = words.buffers()
+            at = np.frombuffer(at, np.int64)[words.offset : words.offset + len(words) + 1]
+            names = range_names(np.frombuffer(held, np.uint8), at[:-1], at[1:], 5)
+            bucket = (names % np.uint64(n_buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
         counts = np.concatenate(self.counts)
-        column = coded.indices.to_numpy().astype(np.int64)
-        wide = max(1, len(coded.dictionary))
-        cells = np.repeat(np.arange(len(counts)), counts) * wide + column
+        wide = max(1, len(words))
+        cells = np.repeat(np.arange(len(counts)) * wide, counts)
+        cells += place[coded.indices.to_numpy()]
+        del coded
         cells, data = np.unique(cells, return_counts=True)
         row, column = cells // wide, cells % wide
+        indptr = np.searchsorted(row, np.arange(len(counts) + 1))
+        # Columns ascend in a row, so steps are small.
+        steps = np.diff(column, prepend=0)
+        begins = indptr[:-1][np.diff(indptr) > 0]
+        steps[begins] = column[begins]
         yield {
             "shard": number,
             "ids": ids,
             "parts": parts,
             "flags": np.concatenate(self.flags).tobytes(),
             "digests": b"".join(self.digests),
-            "indptr": np.searchsorted(row, np.arange(len(counts) + 1)).tobytes(),
-            "indices": column.astype(np.uint32).tobytes(),
-            "data": data.astype(np.uint32).tobytes(),
+            "indptr": squeezed(np.diff(indptr)),
+            "indices": squeezed(steps),
+            "data": squeezed(data),
         }
-        words = coded.dictionary
-        if not len(words):
-            return
-        _, at, held = words.buffers()
-        at = np.frombuffer(at, np.int64)[words.offset : words.offset + len(words) + 1]
-        names = range_names(np.frombuffer(held, np.uint8), at[:-1], at[1:], 5)
-        bucket = (names % np.uint64(n_buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable").astype(np.uint32)
         cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
         for b in np.flatnonzero(np.diff(cuts)):
-            mine = order[cuts[b] : cuts[b + 1]]
-            yield {
-                "shard": number,
-                "bucket": int(b),
-                "words": words.take(pa.array(mine)).cast(pa.binary()),
-                "places": mine.tobytes(),
-            }
+            mine = words.take(pa.array(order[cuts[b] : cuts[b + 1]]))
+            yield {"shard": number, "bucket": int(b), "words": _joined(mine)}
 
 
 def _as_batch(row: dict) -> pa.RecordBatch:
@@ -196,75 +231,68 @@ def _shard_rows(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[p
             number += 1
 
 
-def _coded(group: pa.Table, n_buckets: int) -> pa.Table:
-    """Codes of a bucket's words: the rank among its sorted words, and the bucket."""
-    lists = group["words"].combine_chunks()
-    words = pa.concat_arrays([c.flatten() for c in group["words"].chunks])
-    coded = words.dictionary_encode()
+def _coded(group: pa.Table) -> pa.Table:
+    """Ranks of a bucket's words among all its distinct ones, for each shard."""
+    lists = [_lines(x.as_py()) for x in group["words"]]
+    ends = np.cumsum([len(x) for x in lists])
+    coded = pa.concat_arrays(lists).dictionary_encode()
+    del lists
     order = pc.sort_indices(coded.dictionary).to_numpy()
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    bucket = group["bucket"][0].as_py()
-    codes = (rank * n_buckets + bucket)[coded.indices.to_numpy()]
-    ends = np.cumsum(pc.list_value_length(lists).to_numpy())
-    parts = np.split(codes, ends[:-1])
+    ranks = np.split(rank[coded.indices.to_numpy()], ends[:-1])
     return pa.table(
-        [
-            group["shard"],
-            group["places"],
-            pa.array([p.tobytes() for p in parts], pa.binary()),
-        ],
-        ["shard", "places", "codes"],
+        [group["shard"], group["bucket"], pa.array([squeezed(r) for r in ranks], pa.binary())],
+        ["shard", "bucket", "ranks"],
     )
 
 
-def _recoded(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``indptr, indices, data`` of a shard with the codes that all shards share."""
-    codes = np.zeros(sum(len(c["codes"]) for c in row["coded"] or ()) // 8, np.int64)
-    for c in row["coded"] or ():
-        codes[np.frombuffer(c["places"], np.uint32)] = np.frombuffer(c["codes"], np.int64)
-    indices = codes[np.frombuffer(row["indices"], np.uint32)]
-    return (
-        np.frombuffer(row["indptr"], np.int64),
-        indices,
-        np.frombuffer(row["data"], np.uint32),
-    )
-
-
-def matrix(docs: DataFrame) -> DataFrame:
-    """CSR shards over all documents' words: ``shard, ids, parts, flags, digests,
-    indptr, indices, data`` and ``coded``, the codes of the shard's words."""
-    n_bytes = text_bytes(docs)
-    n_buckets = buckets_for(n_bytes, BUCKET_BYTES)
+def csr(row: dict, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``indptr, indices, data`` of a shard, with the codes that all shards share."""
+    coded = sorted(row["coded"] or (), key=lambda c: c["bucket"])
+    codes = [unsqueezed(c["ranks"]).astype(np.int64) * n_buckets + c["bucket"] for c in coded]
+    sizes = unsqueezed(row["indptr"]).astype(np.int64)
+    indptr = np.append(0, np.cumsum(sizes))
+    # Back from steps: sums from each row's begin on.
+    steps = unsqueezed(row["indices"]).astype(np.int64)
+    sums = np.append(0, np.cumsum(steps))
+    column = sums[1:] - np.repeat(sums[indptr[:-1]], sizes)
+    indices = np.concatenate(codes)[column] if codes else column
+    return indptr, indices, unsqueezed(row["data"])
+
+
+def matrix(docs: DataFrame) -> tuple[DataFrame, int]:
+    """CSR shards over all documents' words, and the number of buckets: rows that
+    ``csr`` reads, with the documents' ``ids``, ``parts``, ``flags`` and ``digests``."""
+    n_buckets = buckets_for(text_bytes(docs), BUCKET_BYTES)
     texts = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("id"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"),
         F.col("text").cast("string").alias("text"),
     )
     rows = stored(texts.mapInArrow(lambda it: _shard_rows(it, n_buckets), SHARD), "shards")
-    words = rows.where("bucket IS NOT NULL").select("bucket", "shard", "words", "places")
-    codes = words.groupBy("bucket").applyInArrow(lambda g: _coded(g, n_buckets), CODES)
-    # One row for each bucket that has words of the shard: as large as the shard.
+    words = rows.where("bucket IS NOT NULL").select("bucket", "shard", "words")
+    codes = words.groupBy("bucket").applyInArrow(_coded, CODES)
+    # One row for each bucket that has words of the shard: no more than its text.
     by_shard = codes.groupBy("shard").agg(
-        F.collect_list(F.struct("places", "codes")).alias("coded")
-    )
-    return rows.where("bucket IS NULL").drop("bucket", "words", "places").join(
-        by_shard, "shard", "left"
+        F.collect_list(F.struct("bucket", "ranks")).alias("coded")
     )
+    shards = rows.where("bucket IS NULL").drop("bucket", "words")
+    return shards.join(by_shard, "shard", "left"), n_buckets
 
 
-def _document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _document_rows(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     names = [x.split()[0] for x in ROWS.split(", ")]
     for batch in batches:
         for i in range(batch.num_rows):
-            row = {c: batch.column(c)[i].as_py() for c in ("indptr", "indices", "data", "coded")}
-            indptr, _, data = _recoded(row)
+            held = {c: batch.column(c)[i].as_py() for c in ("indptr", "indices", "data", "coded")}
+            indptr, _, data = csr(held, n_buckets)
+            del held
             sums = np.zeros(len(data) + 1, np.int64)
             np.cumsum(data, out=sums[1:])
             n_words = sums[indptr[1:]] - sums[indptr[:-1]]
-            # A column stands for one word: a row's nonzero cells are its distinct words.
-            n_distinct = np.diff(indptr)
+            n_distinct = np.diff(indptr)  # a column stands for one word
             flags = np.frombuffer(batch.column("flags")[i].as_buffer(), np.uint8).astype(np.int32)
             flags += n_words < MIN_WORDS
             flags += 2 * (100 * n_distinct < MIN_DISTINCT * n_words)
@@ -278,7 +306,10 @@ def _document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 [digests[k : k + 32] for k in range(0, len(digests), 32)],
             ]
             yield pa.RecordBatch.from_arrays(
-                [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                [
+                    c if isinstance(c, pa.Array) else pa.array(c, k)
+                    for c, k in zip(columns, kinds, strict=True)
+                ],
                 names,
             )
 
@@ -286,7 +317,8 @@ def _document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def document_rows(docs: DataFrame) -> DataFrame:
     """``id, part, n_words, n_distinct, flags`` of every document: ``flags`` has bit i
     for the i-th filter that it fails. A null id is the largest number."""
-    rows = stored(matrix(docs).mapInArrow(_document_rows, ROWS), "audited")
+    shards, n_buckets = matrix(docs)
+    rows = stored(shards.mapInArrow(lambda it: _document_rows(it, n_buckets), ROWS), "audited")
     first = rows.groupBy("digest").agg(F.min("id").alias("least"))
     again = F.when(F.col("id") > F.col("least"), 16).otherwise(0)
     return rows.join(first, "digest").select(
