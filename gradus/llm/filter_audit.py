@@ -217,11 +217,13 @@ def _as_batch(row: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([column(f) for f in _SHARD], schema=_SHARD)
 
 
-def _shard_rows(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
+def _shard_rows(
+    batches: Iterator[pa.RecordBatch], n_buckets: int, shard_bytes: int
+) -> Iterator[pa.RecordBatch]:
     base = TaskContext.get().partitionId() << 32
     number = 0
     for batch in batches:
-        for piece in blocks(batch.column("text"), SHARD_BYTES):
+        for piece in blocks(batch.column("text"), shard_bytes):
             part = batch.slice(piece.lo, piece.hi - piece.lo)
             shard = _Shard()
             for block in blocks(part.column("text")):
@@ -264,13 +266,15 @@ def csr(row: dict, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def matrix(docs: DataFrame) -> tuple[DataFrame, int]:
     """CSR shards over all documents' words, and the number of buckets: rows that
     ``csr`` reads, with the documents' ``ids``, ``parts``, ``flags`` and ``digests``."""
-    n_buckets = buckets_for(text_bytes(docs), BUCKET_BYTES)
+    n_buckets, shard_bytes = buckets_for(text_bytes(docs), BUCKET_BYTES), SHARD_BYTES
     texts = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("id"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"),
         F.col("text").cast("string").alias("text"),
     )
-    rows = stored(texts.mapInArrow(lambda it: _shard_rows(it, n_buckets), SHARD), "shards")
+    rows = stored(
+        texts.mapInArrow(lambda it: _shard_rows(it, n_buckets, shard_bytes), SHARD), "shards"
+    )
     words = rows.where("bucket IS NOT NULL").select("bucket", "shard", "words")
     codes = words.groupBy("bucket").applyInArrow(_coded, CODES)
     # One row for each bucket that has words of the shard: no more than its text.

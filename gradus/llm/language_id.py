@@ -46,6 +46,8 @@ LONGEST = 4
 WIDTH_BITS = 13
 WIDTH = 1 << WIDTH_BITS
 ENOUGH = 4_096
+#: Languages whose counts are broadcast; of more, one row each is learned from anyway.
+BROADCAST_LANGUAGES = 10_000
 SLICE = 1 << 18
 STEPS = 80
 UNKNOWN = "und"
@@ -281,6 +283,8 @@ def learn(
     each = max(1, sample_rows // n_languages)
     # Hashes are even, so the smallest lie below a bound that follows the rows: about
     # twice those wanted are left before any language's rows meet.
+    if n_languages <= BROADCAST_LANGUAGES:
+        sizes = F.broadcast(sizes)
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     slim = known.select(
         "doc_id", "lang", rank.alias("rank"), F.xxhash64("text").alias("hash")

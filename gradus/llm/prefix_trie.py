@@ -187,11 +187,11 @@ def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
         yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Sorted ids of a node, joined to texts of ``CHUNK_IDS`` at most."""
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple]:
+    """Sorted ids of a node, joined to texts of ``most`` at most."""
     key, ids = None, []
     for *new, i in _rows(batches, *KEY, "id"):
-        if ids and (new != key or len(ids) >= CHUNK_IDS):
+        if ids and (new != key or len(ids) >= most):
             yield (*key, ids[0], ",".join(map(str, ids)))
             ids = []
         key = new
@@ -219,11 +219,11 @@ def ends_digests(ends: DataFrame) -> DataFrame:
     """``d, p1, p2, ends``: SHA-256 of the node's ids, ascending, joined by commas. A
     digest is made in one piece, so a node's ids meet in one task, in text of many ids
     a row and without being held; they are sorted in ranges before."""
-    order = [*KEY, "id"]
+    order, most = [*KEY, "id"], CHUNK_IDS
     listed = (
         ends.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .mapInArrow(lambda it: _batches(_chunks(it), _CHUNK), _CHUNK)
+        .mapInArrow(lambda it: _batches(_chunks(it, most), _CHUNK), _CHUNK)
     )
     return (
         listed.repartition(*KEY)

@@ -11,11 +11,11 @@ from gradus.llm.common import table
 from gradus.llm.oracle import ORACLES
 from gradus.llm.queries import QUERIES
 
-TABLES = "documents pages benchmark labels".split()
+TABLES = "documents pages benchmark labels conversations".split()
 
 
 def test_all_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(ORACLES) <= set(QUERIES)
 
