@@ -24,6 +24,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames from ``stored`` that nothing reads any more: what was
+    made from them must be stored itself."""
+    for df in frames:
+        for path in df.inputFiles()[:1]:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            conf = df.sparkSession._jsc.hadoopConfiguration()
+            folder.getFileSystem(conf).delete(folder, True)
+
+
+#: Most buckets of a table from ``stored_by``.
+MOST_BUCKETS = 1 << 16
+
+
+def stored_by(df: DataFrame, name: str, key: str, n_buckets: int) -> DataFrame:
+    """Like ``stored``, dealt to buckets of ``key``: joins on it don't shuffle the rows
+    again."""
+    spark = df.sparkSession
+    n_buckets = min(n_buckets, MOST_BUCKETS)
+    path = shared_path(spark, name)
+    table = "stored_" + path.rpartition("-")[2]
+    rows = df.repartition(n_buckets, key).write.bucketBy(n_buckets, key).sortBy(key)
+    rows.option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts."""
     return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
@@ -39,4 +65,13 @@ def crc_mod(id_column, n: int):
     return F.pmod(F.crc32(id_column.cast("string")), F.lit(n))
 
 
-__all__ = ["WORD", "buckets_for", "crc_mod", "stored", "table", "text_bytes"]
+__all__ = [
+    "WORD",
+    "buckets_for",
+    "crc_mod",
+    "discard",
+    "stored",
+    "stored_by",
+    "table",
+    "text_bytes",
+]

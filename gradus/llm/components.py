@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm.common import stored
+from gradus.llm.common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -32,6 +32,8 @@ def components(links: DataFrame) -> DataFrame:
             lower.join(heads, "root").select("node", "old", F.col("head").alias("root")),
             "labels",
         )
+        discard(labels, lower)
         if jumped.where("root <> old").isEmpty():
+            discard(both)
             return jumped.select("node", "root")
         labels = jumped.select("node", "root")

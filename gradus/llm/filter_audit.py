@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm.blocks import SPACE, Block, blocks, range_names
+from gradus.llm.blocks import SPACE, Block, blocks, range_names, squeezed, unsqueezed
 from gradus.llm.common import buckets_for, stored, text_bytes
 
 FILTERS = "ABCDE"
@@ -79,23 +79,6 @@ CODES = "shard bigint, bucket int, ranks binary"
 ROWS = "id bigint, part string, n_words bigint, n_distinct bigint, flags int, digest binary"
 
 
-def squeezed(values: np.ndarray) -> bytes:
-    """Numbers below 2**32, compressed: first all low bytes, then all second ones, and
-    so on. Before it stands how many there are."""
-    planes = np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4).T
-    packed = pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-    return len(values).to_bytes(8, "little") + packed
-
-
-def unsqueezed(held: bytes) -> np.ndarray:
-    n = int.from_bytes(held[:8], "little")
-    if not n:
-        return np.zeros(0, np.uint32)
-    planes = pa.decompress(held[8:], 4 * n, codec="zstd", asbytes=True)
-    planes = np.frombuffer(planes, np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
-
-
 def _joined(words: pa.Array) -> bytes:
     """Words, none of which holds a line end, as lines."""
     _, at, held = words.buffers()

@@ -40,8 +40,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus.llm import match as M
-from gradus.llm.blocks import LOWER, Block, blocks, mix, owners, range_names, windows
-from gradus.llm.common import buckets_for, stored, text_bytes
+from gradus.llm.blocks import (
+    LOWER,
+    Block,
+    blocks,
+    mix,
+    owners,
+    range_names,
+    squeezed,
+    unsqueezed,
+    windows,
+)
+from gradus.llm.common import buckets_for, stored, stored_by, text_bytes
 from gradus.llm.components import components
 
 SHINGLE = 5
@@ -49,7 +59,7 @@ PERCENT = 80
 EXTRA = 8
 #: Counters of the sketch: a power of two up to 2**24, one byte each when sent.
 SKETCH_BITS = (16, 24)
-SLICE_BITS = 12
+SLICE_BITS = 14
 BUCKET_BYTES = 48 << 20
 #: Shingles that one side of a cell of comparisons holds (or one longer set).
 CELL_SHINGLES = 200_000
@@ -127,8 +137,8 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([int(slices[lo])], pa.int32()),
-                pa.array([(used[lo:hi] & ((1 << SLICE_BITS) - 1)).astype(np.uint16).tobytes()]),
-                pa.array([np.minimum(table[used[lo:hi]], 65535).astype(np.uint16).tobytes()]),
+                pa.array([squeezed(np.diff(used[lo:hi] & ((1 << SLICE_BITS) - 1), prepend=0))]),
+                pa.array([squeezed(table[used[lo:hi]])]),
             ],
             ["slice", "cells", "counts"],
         )
@@ -137,9 +147,7 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Re
 def _sketch_slice(group: pa.Table) -> pa.Table:
     total = np.zeros(1 << SLICE_BITS, np.uint64)
     for cells, counts in zip(group["cells"], group["counts"], strict=True):
-        total[np.frombuffer(cells.as_buffer(), np.uint16)] += np.frombuffer(
-            counts.as_buffer(), np.uint16
-        )
+        total[np.cumsum(unsqueezed(cells.as_py()))] += unsqueezed(counts.as_py())
     # Powers of two are enough to tell rare from frequent.
     level = np.ceil(np.log2(total + np.uint64(1))).astype(np.uint8)
     return pa.table([group["slice"].slice(0, 1), pa.array([level.tobytes()])], ["slice", "levels"])
@@ -305,6 +313,19 @@ def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
     return stored(out, "parts")
 
 
+def _doubtful(
+    active: DataFrame, queries: DataFrame, members: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Queries and members that may link by their bitmaps."""
+    doubt = _cells(
+        active.select("node", "n", "bits"), queries, members, F.count(F.lit(1)), CELL_BITMAPS
+    )
+    doubt = doubt.groupBy("pair", "q", "m").applyInArrow(_promise, "pair bigint, node bigint")
+    doubt = stored(doubt.distinct(), "doubt")
+    left = lambda side: side.join(doubt, ["pair", "node"], "left_semi")
+    return left(queries), left(members)
+
+
 def _to_leaders(active: DataFrame, keys: DataFrame) -> DataFrame:
     """Each document against the leader of its group."""
     own = F.col("node").alias("component")
@@ -332,7 +353,7 @@ def _to_largest(active: DataFrame, tokens: DataFrame, parts: DataFrame) -> DataF
     members = parts.join(
         queries.select(F.col("pair").alias("component")).distinct(), "component", "left_semi"
     ).select(F.col("component").alias("pair"), "node", "component")
-    return _merged(parts, stored(opened(active, queries, members), "found"))
+    return _merged(parts, stored(opened(active, *_doubtful(active, queries, members)), "found"))
 
 
 def _alike(tokens: DataFrame, keys: DataFrame) -> DataFrame:
@@ -429,13 +450,7 @@ def _to_all(
     members = groups.join(
         pairs.select(F.col("g2").alias("g")).distinct(), "g", "left_semi"
     ).select(F.col("g").alias("pair"), "node", "component")
-    doubt = _cells(
-        active.select("node", "n", "bits"), queries, members, F.count(F.lit(1)), CELL_BITMAPS
-    )
-    doubt = doubt.groupBy("pair", "q", "m").applyInArrow(_promise, "pair bigint, node bigint")
-    doubt = stored(doubt.distinct(), "doubt")
-    left = lambda side: side.join(doubt, ["pair", "node"], "left_semi")
-    return _merged(parts, stored(opened(active, left(queries), left(members)), "found"))
+    return _merged(parts, stored(opened(active, *_doubtful(active, queries, members)), "found"))
 
 
 def linked_groups(active: DataFrame) -> DataFrame:
@@ -481,12 +496,14 @@ def classes(docs: DataFrame) -> DataFrame:
     )
     # Texts without a shared shingle in their head link with nothing.
     reps = reps.join(shared.hint("shuffle_hash"), ["id", "hash"])
-    active = stored(
+    active = stored_by(
         reps.mapInArrow(
             lambda it: _active_rows(it, levels),
             "node bigint, n bigint, tokens array<bigint>, set binary, bits binary",
         ),
         "active",
+        "node",
+        buckets_for(n_bytes, 4 * BUCKET_BYTES),
     )
     groups = linked_groups(active)
     # Classes outside all groups are components of their own.
