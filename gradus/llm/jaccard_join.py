@@ -64,8 +64,8 @@ BUCKET_BYTES = 48 << 20
 #: Shingles that one side of a cell of comparisons holds (or one longer set).
 CELL_SHINGLES = 200_000
 #: Bits of a set's bitmap, and bitmaps on one side of a cell.
-BITS = 2048
-CELL_BITMAPS = 4_000
+BITS = 8192
+CELL_BITMAPS = 2_000
 
 
 def least_common(n):
@@ -130,18 +130,18 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Re
             keys, _ = shingle_sets(block)
             cell, count = np.unique(keys >> np.uint64(64 - bits), return_counts=True)
             table[cell] += count.astype(np.uint32)
-    used = np.flatnonzero(table)
-    slices = used >> SLICE_BITS
-    cuts = M._groups(np.arange(len(used)), slices)
-    for lo, hi in zip(cuts, np.append(cuts, len(used))[1:], strict=True):
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([int(slices[lo])], pa.int32()),
-                pa.array([squeezed(np.diff(used[lo:hi] & ((1 << SLICE_BITS) - 1), prepend=0))]),
-                pa.array([squeezed(table[used[lo:hi]])]),
-            ],
-            ["slice", "cells", "counts"],
-        )
+    for i in range(len(table) >> SLICE_BITS):
+        part = table[i << SLICE_BITS : (i + 1) << SLICE_BITS]
+        used = np.flatnonzero(part)
+        if len(used):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([i], pa.int32()),
+                    pa.array([squeezed(np.diff(used, prepend=0))]),
+                    pa.array([squeezed(part[used])]),
+                ],
+                ["slice", "cells", "counts"],
+            )
 
 
 def _sketch_slice(group: pa.Table) -> pa.Table:
@@ -331,7 +331,7 @@ def _to_leaders(active: DataFrame, keys: DataFrame) -> DataFrame:
     own = F.col("node").alias("component")
     queries = keys.where("node <> g").select(F.col("g").alias("pair"), "node", own)
     leaders = queries.select("pair", F.col("pair").alias("node")).distinct()
-    links = opened(active, queries, leaders.select("pair", "node", own))
+    links = opened(active, *_doubtful(active, queries, leaders.select("pair", "node", own)))
     return _merged(keys.select("node", own), stored(links, "found"))
 
 
@@ -485,7 +485,8 @@ def classes(docs: DataFrame) -> DataFrame:
         "classes",
     )
     levels = spark.sparkContext.broadcast(sketch(docs, n_bytes))
-    n_buckets = buckets_for(n_bytes, BUCKET_BYTES)
+    # Heads are a quarter of all shingles.
+    n_buckets = buckets_for(n_bytes, 4 * BUCKET_BYTES)
     owners_ = named.select("id", "hash", "node").hint("shuffle_hash")
     reps = texts.join(owners_, ["id", "hash"])
     found = reps.mapInArrow(
