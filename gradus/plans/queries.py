@@ -33,6 +33,7 @@ from gradus.operators.scoring import (
 )
 from gradus.plans import derived as D
 from gradus.session import materialise, shared_path, spread
+from gradus.sources.pages import append_pages
 from gradus.sources.problems import (
     append_records,
     dataset_count,
@@ -41,7 +42,7 @@ from gradus.sources.problems import (
     write_problems,
 )
 from gradus.sources.schemas import KEYED_PROBLEM
-from gradus.streaming.collect import collect_stream, read_collected
+from gradus.streaming.collect import PageStores, collect_stream, read_collected
 from gradus.streaming.score import score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -639,9 +640,13 @@ def scored_stream(spark, sf_dir):
 def collected_stream(spark, sf_dir):
     target = shared_path(spark, "records")
     documents = _stream(spark, sf_dir, "documents")
+    lists, codes = _tables(spark, sf_dir)
+    stores = PageStores(shared_path(spark, "lists"), shared_path(spark, "submissions"))
+    append_pages(lists, stores.lists)
+    append_pages(codes, stores.submissions)
     collect_stream(
         D.keyed_pages(documents),
-        lambda session: _tables(session, sf_dir),
+        stores,
         target,
         shared_path(spark, "record-offsets"),
     ).awaitTermination()

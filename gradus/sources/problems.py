@@ -101,32 +101,6 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.format(fmt).load(path)
 
 
-#: Folders of a page store. Pages of one contest are in one folder.
-PAGE_BUCKETS = 512
-_BUCKET = "contest_bucket"
-
-
-def _bucket(buckets: int):
-    return F.pmod(F.xxhash64("contest_id"), F.lit(buckets)).cast("int").alias(_BUCKET)
-
-
-def write_pages(
-    df: DataFrame, path: str, *, mode: str = "append", buckets: int = PAGE_BUCKETS
-) -> None:
-    """Store pages in folders by contest, so that lookups read few of them."""
-    df.select("*", _bucket(buckets)).write.partitionBy(_BUCKET).mode(mode).parquet(path)
-
-
-def read_pages_of(
-    spark: SparkSession, path: str, tasks: DataFrame, *, buckets: int = PAGE_BUCKETS
-) -> DataFrame:
-    """Stored pages of the folders that the contests of ``tasks`` are in. The folder
-    numbers, ``buckets`` at most, are part of the plan: other folders aren't read."""
-    wanted = [r[0] for r in tasks.select(_bucket(buckets)).distinct().collect()]
-    stored = spark.read.parquet(path)
-    return stored.where(F.col(_BUCKET).isin(wanted)).drop(_BUCKET)
-
-
 def dataset_count(df: DataFrame, *by: str) -> DataFrame:
     """Number of records, in total or per slice."""
     return df.groupBy(*by).agg(F.count("*").alias("records"))
@@ -139,8 +113,6 @@ __all__ = [
     "malformed_records",
     "read_or_empty",
     "read_pages",
-    "read_pages_of",
-    "write_pages",
     "read_problems",
     "write_problems",
 ]

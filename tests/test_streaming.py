@@ -1,5 +1,7 @@
 """Streams give what the batch operators give; running again adds nothing."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from gradus.functions.rewards import ACTIVE
@@ -12,8 +14,10 @@ from gradus.operators.collect import (
 )
 from gradus.operators.scoring import score, total_reward
 from gradus.plans import derived as D
+from gradus.sources.live import FAN, LiveFolders
+from gradus.sources.pages import append_pages, read_pages_of, read_store
 from gradus.sources.schemas import COMPLETION, KEYED_PROBLEM, TASK_PAGE
-from gradus.streaming.collect import collect_stream, read_collected, read_failed
+from gradus.streaming.collect import PageStores, collect_stream, read_collected, read_failed
 from gradus.streaming.score import score_stream
 
 
@@ -121,21 +125,22 @@ def test_collect_skips_known_and_copied_tasks(spark, sf_dir):
     assert not tasks & {tuple(row[:2]) for row in once}
 
 
-def test_a_batch_reads_the_folders_of_its_contests(spark, sf_dir, tmp_path):
-    from gradus.sources.problems import read_pages_of, write_pages
-    from gradus.streaming.collect import PageStores
-
+def test_a_batch_reads_the_files_of_its_contests(spark, sf_dir, tmp_path):
     lists, codes = tables(spark, sf_dir)
-    stores = PageStores(str(tmp_path / "lists"), str(tmp_path / "codes"), 16)
-    write_pages(lists, stores.lists, buckets=16)
-    write_pages(codes, stores.submissions, buckets=16)
+    stores = PageStores(str(tmp_path / "lists"), str(tmp_path / "codes"))
+    append_pages(lists, stores.lists, file_bytes=4_000)
+    append_pages(codes, stores.submissions, file_bytes=20_000)
     pages = D.problem_pages(spark, sf_dir).select(*TASK_PAGE.fieldNames())
     few = pages.where("contest_id IN ('abc1', 'abc2')")
-    read = read_pages_of(spark, stores.lists, few, buckets=16)
-    plan = read._jdf.queryExecution().executedPlan().toString()
-    assert "contest_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
-    files = [r[0] for r in read.select(F.input_file_name()).distinct().collect()]
-    assert 0 < len({f.split("contest_bucket=")[1].split("/")[0] for f in files}) <= 2
+    every = read_store(spark, stores.lists, TASK_PAGE)
+    assert every.count() == lists.count() and len(every.inputFiles()) > 8
+    read = read_pages_of(spark, stores.lists, few, TASK_PAGE)
+    # A file holds a range of contests: each contest is in one or two.
+    assert 0 < len(read.inputFiles()) <= 4
+    own = "contest_id IN ('abc1', 'abc2')"
+    assert as_set(read.where(own)) == as_set(every.where(own))
+    assert read_pages_of(spark, stores.lists, few.limit(0), TASK_PAGE).count() == 0
+    assert read_pages_of(spark, str(tmp_path / "none"), few, TASK_PAGE).count() == 0
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     pages.write.parquet(source)
     collect_stream(
@@ -145,3 +150,80 @@ def test_a_batch_reads_the_folders_of_its_contests(spark, sf_dir, tmp_path):
     assert as_set(read_collected(spark, target)) == as_set(
         collect_increment(pages, *tables(spark, sf_dir), nothing)
     )
+
+
+def test_page_store_of_many_commits(spark, tmp_path):
+    path = str(tmp_path / "store")
+    for i in range(20):
+        rows = [(f"abc{j}", f"abc{j}_a", f"page {i}") for j in range(i, i + 5)]
+        append_pages(spark.createDataFrame(rows, TASK_PAGE), path)
+    assert read_store(spark, path, TASK_PAGE).count() == 100
+    entries = LiveFolders(spark, path).entries()
+    assert len(entries) <= 2 * FAN and max(e.level for e in entries) == 1
+    one = spark.createDataFrame([("abc3", "abc3_a")], "contest_id string, task_id string")
+    found = read_pages_of(spark, path, one, TASK_PAGE).where("contest_id = 'abc3'")
+    assert sorted(r.html for r in found.collect()) == [f"page {i}" for i in range(4)]
+
+
+def test_live_folders(spark, tmp_path):
+    """Versions, replaced commits, merging in tiers, and what a lost writer leaves."""
+    path = tmp_path / "set"
+    live = LiveFolders(spark, str(path))
+    assert live.entries() == [] and live.next_commit() == 0
+
+    def put(commit, value):
+        folder = live.fresh()
+        df = spark.createDataFrame([(commit, value)], "commit long, value long").coalesce(1)
+        df.write.parquet(f"{path}/{folder}")
+        live.add(folder, commit)
+
+    def rows():
+        out = []
+        for e in live.entries():
+            got = spark.read.parquet(f"{path}/{e.folder}").collect()
+            out += [tuple(r) for r in got if r.commit not in e.without]
+        return sorted(out)
+
+    def rewrite(entries, into):
+        parts = [
+            spark.read.parquet(f"{path}/{e.folder}").where(~F.col("commit").isin(e.without or [-1]))
+            for e in entries
+        ]
+        reduce(lambda a, b: a.union(b), parts).coalesce(1).write.parquet(f"{path}/{into}")
+
+    for i in range(50):
+        put(i, i)
+        while live.merge(rewrite):
+            pass
+    assert rows() == [(i, i) for i in range(50)]
+    assert len(live.entries()) <= 2 * FAN
+    folders = [p for p in path.iterdir() if p.name.startswith("part-")]
+    assert len(folders) <= 3 * FAN and len(list((path / "_live").glob("0*"))) <= 3
+    # Any commit again takes the place of its rows, also of merged ones.
+    for i in (3, 49, 3):
+        put(i, 100 + i)
+        while live.merge(rewrite):
+            pass
+    expected = sorted([(i, i) for i in range(50) if i not in (3, 49)] + [(3, 103), (49, 149)])
+    assert rows() == expected
+    # A version that was not written to its end does not count, and is never reused.
+    last = max(int(p.name) for p in (path / "_live").glob("0*"))
+    (path / "_live" / f"{last + 1:012d}").write_text('[{"folder": "par')
+    assert rows() == expected
+    put(60, 60)
+    assert rows() == sorted([*expected, (60, 60)])
+
+
+def test_many_batches_leave_few_files(spark, sf_dir, tmp_path):
+    source, target, offsets = (str(tmp_path / n) for n in ("in", "out", "offsets"))
+    pages = D.problem_pages(spark, sf_dir).select(*TASK_PAGE.fieldNames()).where("contest_id < 'abc2'")
+    pages.repartition(18).write.parquet(source)
+    lookups = [t.cache() for t in tables(spark, sf_dir)]
+    stream = spark.readStream.schema(TASK_PAGE).option("maxFilesPerTrigger", 1).parquet(source)
+    collect_stream(stream, lambda s: tuple(lookups), target, offsets).awaitTermination()
+    entries = LiveFolders(spark, target).entries()
+    assert len({c for e in entries for c in e.commits}) > FAN > len(entries)
+    nothing = spark.createDataFrame([], KEYED_PROBLEM)
+    assert as_set(read_collected(spark, target)) == as_set(
+        collect_increment(pages, *lookups, nothing)
+    )
