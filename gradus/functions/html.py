@@ -37,8 +37,11 @@ ENTITIES = (
 
 
 def plain_text(markup: Column) -> Column:
-    """Markup without tags, entities decoded."""
-    out = _numbered(F.regexp_replace(markup, "<[^>]*>", ""))
+    """Markup without tags, entities decoded. Behind the last ``>`` there is no tag to
+    look for, so that ``<`` without an end does not search the rest each time."""
+    rest = F.substring_index(markup, ">", -1)
+    tagged = F.left(markup, F.length(markup) - F.length(rest))
+    out = _numbered(F.concat(F.regexp_replace(tagged, "<[^>]*>", ""), rest))
     for entity, char in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
     return out
@@ -64,29 +67,29 @@ def _numbered(text: Column) -> Column:
 
 
 def _content(tag: str) -> str:
-    """A tag in any case, with or without attributes."""
-    return rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"
+    """A tag in any case, with or without attributes. A tag ends before the next ``<``."""
+    return rf"(?is)<{tag}(?:\s[^<>]*)?>(.*?)</{tag}\s*>"
+
+
+def _up_to_last(html: Column, tag: str) -> Column:
+    """Text up to the last end of ``tag``. Within it every opening tag has an end to
+    find, so that unclosed ones do not each search the rest of the page."""
+    return F.regexp_extract(html, rf"(?is)\A(.*</{tag}\s*>)", 1)
 
 
 def page_title(html: Column, tag: str = "title") -> Column:
     """Stripped text of the first ``tag``; null if absent or empty."""
-    found = F.regexp_extract(html, _content(tag), 1)
+    found = F.regexp_extract(_up_to_last(html, tag), _content(tag), 1)
     return F.nullif(T.strip(plain_text(found)), F.lit(""))
 
 
 def page_language(html: Column) -> Column:
     """Language of the first ``lang`` attribute, without its region, in lower case;
     '' if absent."""
-    pattern = r"""(?is)<[a-z][^>]*\slang\s*=\s*["']?([a-z]+)"""
+    pattern = r"""(?is)<[a-z][^<>]*\slang\s*=\s*["']?([a-z]+)"""
     return F.lower(F.regexp_extract(html, pattern, 1))
 
 
-def _up_to_last(html: Column, tag: str) -> Column:
-    """Text up to the last end of ``tag``. Within it every opening tag has an end to
-    find, so that unclosed ones do not each search the rest of the page."""
-    return F.regexp_extract(html, rf"(?is)\A(.*</{tag}\s*>)", 1)
-
-
 def paragraphs(html: Column) -> Column:
     """Stripped texts of all ``p``, in order, empty ones kept."""
     found = F.regexp_extract_all(
@@ -97,7 +100,7 @@ def paragraphs(html: Column) -> Column:
 
 def link_targets(html: Column) -> Column:
     """Targets of all links, in order."""
-    pattern = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    pattern = r"""(?is)<a\s(?:[^<>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)')"""
     double = F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
     single = F.regexp_extract_all(html, F.lit(pattern), F.lit(2))
     # Of the two kinds of quotes one is empty; entities stay as they are.

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import sys
 from collections import Counter
+from collections.abc import Iterable
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -61,8 +62,9 @@ ASCII_BLANKS = " \n\t\f\r"
 
 
 class _Outline(HTMLParser):
-    def __init__(self):
+    def __init__(self, kept=KEPT):
         super().__init__(convert_charrefs=True)
+        self.kept = kept
         self.open: list[tuple[str, dict | None, int]] = []
         self.depth: Counter[str] = Counter()
         self.elements: list[dict] = []
@@ -90,7 +92,7 @@ class _Outline(HTMLParser):
         self.flush()
         self.serial += 1
         entry = None
-        if tag in KEPT:
+        if tag in self.kept:
             values = {k: v or "" for k, v in attrs}
             entry = {
                 "idx": len(self.elements),
@@ -143,11 +145,11 @@ def failed(reason: str) -> dict:
     return {"pieces": [], "error": reason, "elements": []}
 
 
-def outline(html: str | None) -> dict | None:
-    """Outline of one page."""
+def outline(html: str | None, kept=KEPT) -> dict | None:
+    """Outline of one page, with the elements of the tags ``kept``."""
     if html is None:
         return None
-    parser = _Outline()
+    parser = _Outline(kept)
     try:
         parser.feed(html)
         parser.close()
@@ -156,12 +158,13 @@ def outline(html: str | None) -> dict | None:
     return parser.finish()
 
 
-def page_outline(html: Column) -> Column:
-    """Outline of a page as a struct column, see ``OUTLINE``. Only the HTML goes
-    through Python, one Arrow batch at a time."""
+def page_outline(html: Column, tags: Iterable[str] = KEPT) -> Column:
+    """Outline of a page as a struct column, see ``OUTLINE``, with the elements of the
+    ``tags`` asked for. Only the HTML goes through Python, one Arrow batch at a time."""
+    kept = frozenset(tags)
 
     def outlines(pages: pa.Array) -> pa.Array:
-        return pa.array([outline(p) for p in pages.to_pylist()], type=_OUTLINE)
+        return pa.array([outline(p, kept) for p in pages.to_pylist()], type=_OUTLINE)
 
     # Declared non-deterministic so that a filter on the result is not pushed
     # below it, which would parse every page twice.

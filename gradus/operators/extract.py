@@ -63,9 +63,15 @@ def _computed_once(value: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
-def _outlined(pages: DataFrame, html: str) -> DataFrame:
+#: Tags that each kind of page is searched for.
+PROBLEM_TAGS = ("div", "span", "section", "h3", "p", "pre")
+LIST_TAGS = ("tr", "th", "td", "a")
+CODE_TAGS = ("pre",)
+
+
+def _outlined(pages: DataFrame, html: str, tags: tuple[str, ...]) -> DataFrame:
     kept = [c for c in pages.columns if c != html]
-    return pages.select(*kept, page_outline(F.col(html)).alias("__outline"))
+    return pages.select(*kept, page_outline(F.col(html), tags).alias("__outline"))
 
 
 # --- Problem pages -------------------------------------------------------------
@@ -81,7 +87,7 @@ def page_parts(
     parts are joined. Paragraphs of more than ``ROW_BYTES`` are null and ``overlong``.
     """
     kept = [c for c in pages.columns if c != html]
-    scope = _outlined(pages, html).withColumns(
+    scope = _outlined(pages, html, PROBLEM_TAGS).withColumns(
         {
             "__statement": _first(_elements(), _tag("div", id="task-statement")),
             "__title": _first(_elements(), _tag("span", cls="h2")),
@@ -314,7 +320,7 @@ def listed_submissions(pages: DataFrame, html: str = "html") -> DataFrame:
     order as (row_idx, is_header, has_cell, href of the last cell's first link,
     '' without one)."""
     kept = [c for c in pages.columns if c != html]
-    rows = _outlined(pages, html).withColumn(
+    rows = _outlined(pages, html, LIST_TAGS).withColumn(
         "__rows", F.filter(_elements(), _tag("tr"))
     )
     cells = rows.withColumn(
@@ -393,7 +399,7 @@ def submission_code(pages: DataFrame, html: str = "html") -> DataFrame:
     kept = [c for c in pages.columns if c != html]
     code = _first(_elements(), _tag("pre", id="submission-code"))
     return (
-        _outlined(pages, html)
+        _outlined(pages, html, CODE_TAGS)
         .withColumn("__code", code)
         .select(
             *kept,

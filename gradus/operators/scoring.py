@@ -126,10 +126,15 @@ def reward_summary(
 def best_of_group(
     df: DataFrame, value: str = "total", group: str = "prompt_id", item: str = "gen_id"
 ) -> DataFrame:
-    """The best completion of each group: ``group, item, value``. Of equal values
-    the smallest ``item`` wins; a group whose values are all null has none."""
-    rank = F.struct(F.col(value), -F.col(item))
-    best = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.max(rank).alias("__b"))
+    """The best completion of each group: ``group, item, value``. Items are of any type
+    that has an order; of equal values the smallest ``item`` wins. NaN is larger than
+    any number; a group whose values are all null has none."""
+    number = F.col(value).cast("double")
+    # Numbers from the largest on, so that one minimum finds the best value and, among
+    # equal ones, the smallest item.
+    low = F.when(F.isnan(number), F.lit(float("-inf"))).otherwise(-number)
+    rank = F.struct(~F.isnan(number), low, F.col(item).alias("i"), F.col(value).alias("v"))
+    best = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.min(rank).alias("__b"))
     return best.select(
-        group, (-F.col("__b").getField("col2")).alias(item), F.col(f"__b.{value}").alias(value)
+        group, F.col("__b.i").alias(item), F.col("__b.v").alias(value)
     )

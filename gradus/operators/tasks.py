@@ -113,10 +113,14 @@ def submission_filter(
 def first_accepted(
     submissions: DataFrame, keys: Iterable[str], order: str, *values: str
 ) -> DataFrame:
-    """First submission per task by ``order``, with ``values`` of that row.
-    Aggregated with map-side partials, so a hot task costs no more than any."""
-    return submissions.groupBy(*keys).agg(
-        F.min(order).alias(order), *(F.min_by(v, order).alias(v) for v in values)
+    """First submission per task by ``order``, with ``values`` of that one row: of rows
+    with equal ``order`` the one with the smallest values. Rows without ``order`` come
+    in no place. Aggregated with map-side partials, so a hot task costs no more than
+    any."""
+    row = F.struct(F.col(order), *values)
+    first = F.min(F.when(F.col(order).isNotNull(), row)).alias("__row")
+    return submissions.groupBy(*keys).agg(first).select(
+        *keys, *(F.col("__row").getField(c).alias(c) for c in (order, *values))
     )
 
 

@@ -302,3 +302,31 @@ def test_paragraphs_left_open_at_any_depth(spark):
     table = f"<div>{opened}</div><table><tr><td><a href='/s/7'>x</a></td></tr></table>"
     listed = X.listed_submissions(spark.createDataFrame([("c", table)], "contest_id string, html string"))
     assert X.first_listed(listed).first()[1:] == ("7", None)
+
+
+def test_light_extraction_is_linear(spark):
+    """A megabyte of tags that never end, each kind in a few seconds at most."""
+    import time
+
+    from gradus.functions import html as H
+
+    c = F.col("s")
+    made = [
+        H.page_title(c), H.page_title(c, "h1"), H.page_language(c), F.size(H.paragraphs(c)),
+        F.size(H.link_targets(c)), F.length(H.plain_text(c)),
+    ]
+    for part in ("<a ", "<p ", "<x ", "<p>", "<title>", "<", "<a href=", "<p ></p "):
+        df = spark.createDataFrame([(part * (1_000_000 // len(part)) + "</p>",)], "s string")
+        start = time.perf_counter()
+        df.select(*(m.alias(f"c{i}") for i, m in enumerate(made))).collect()
+        assert time.perf_counter() - start < 12, part
+
+
+def test_only_the_tags_asked_for(spark):
+    from gradus.functions.outline import page_outline
+
+    page = "<div><p>a</p><pre id='submission-code'>x</pre><table><tr><td><a href='u'>l</a></td></tr></table></div>"
+    df = spark.createDataFrame([(page,)], "html string")
+    (row,) = df.select(page_outline(F.col("html"), ("pre",)).alias("o")).collect()
+    assert [e.tag for e in row.o.elements] == ["pre"]
+    assert "".join(row.o.pieces[row.o.elements[0].lo : row.o.elements[0].hi]) == "x"

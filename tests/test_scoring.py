@@ -191,3 +191,44 @@ def test_python_reward_may_be_null(spark):
     short = batch_reward(lambda **k: [], F.col("p"), F.col("c"), F.col("a"))
     with pytest.raises(Exception, match="rewards for"):
         df.select(short.alias("v")).collect()
+
+
+def test_best_of_group_with_any_item(spark):
+    from gradus.operators.scoring import best_of_group
+
+    rows = [(1, "b", 2.0), (1, "a", 2.0), (1, "c", 1.0), (2, "x", None), (2, "y", -1.0), (3, "z", None)]
+    rows += [(4, "m", 5.0), (4, "n", float("nan")), (4, "k", float("inf"))]
+    df = spark.createDataFrame(rows, "prompt_id int, gen_id string, total double")
+    got = {r.prompt_id: (r.gen_id, r.total) for r in best_of_group(df).collect()}
+    assert got.keys() == {1, 2, 4}
+    assert got[1] == ("a", 2.0) and got[2] == ("y", -1.0) and got[4][0] == "n"
+    days = spark.sql("SELECT 1 AS g, DATE'2024-01-02' AS d, 3 AS v UNION ALL SELECT 1, DATE'2024-01-01', 3")
+    (best,) = best_of_group(days, "v", "g", "d").collect()
+    assert str(best.d) == "2024-01-01" and best.v == 3
+
+
+def test_a_failing_row_costs_its_own_reward(spark):
+    from gradus.functions.registry import caught_reward, split_errors
+    from gradus.operators.extract import quarantine
+
+    def rule(prompts, completions, answer, **kwargs):
+        if any(a == "7777" for a in answer):
+            raise KeyError("no such answer")
+        if "123" in answer:
+            return [1.0]  # one value for however many rows
+        return [None if a == "5" else "nan?" if a == "6" else float(a) for a in answer]
+
+    text = F.col("id").cast("string")
+    df = spark.range(0, 10_000, numPartitions=2).select(
+        "id", caught_reward(rule, text, text, text).alias("value")
+    )
+    good, dead = quarantine(split_errors(df, "value"))
+    dead = {r.id: r.error for r in dead.collect()}
+    # A lone row gets its one value: only the bad answers fail.
+    assert dead.keys() == {7777, 6}
+    assert "no such answer" in dead[7777] and dead[6].startswith("ValueError")
+    values = {r.id: r.value for r in good.collect()}
+    assert len(values) == 9_998 and values[5] is None and values[123] == 1.0
+    assert all(v == i for i, v in values.items() if i not in (5, 123))
+    assert caught_reward(rule, text, text, text) is not None
+    assert df.limit(0).count() == 0

@@ -178,3 +178,10 @@ def test_copies_and_titles_in_collection(spark):
         for line in plan.splitlines():
             if "Exchange" in line or "SortAggregate" in line:
                 assert "html" not in line
+
+
+def test_first_accepted_takes_one_row_of_a_tie(spark):
+    rows_ = [("t", 1, "b", "x"), ("t", 1, "a", "y"), ("t", 2, "0", "0"), ("n", None, "q", "r"), ("t", None, "", "")]
+    df = spark.createDataFrame(rows_, "task string, pos int, id string, code string")
+    got = {r.task: tuple(r)[1:] for r in J.first_accepted(df, ["task"], "pos", "id", "code").collect()}
+    assert got == {"t": (1, "a", "y"), "n": (None, None, None)}
