@@ -375,4 +375,14 @@ ORACLES |= {
     "python_reward": _with(R.COMPLETIONS)
     + "SELECT doc_id, length(c) - length(source) + CASE WHEN lang = 'en' THEN 0.5e0 ELSE 0e0 END AS value "
     "FROM completions",
+    "json_array_read": _with(DIALOGUES)
+    + "SELECT CAST(conv_id AS VARCHAR) AS title, description, solution, TRUE AS no_samples "
+    "FROM dialogues WHERE (conv_id // 20) % 4 <> 1",
+    "malformed_records": _with(DIALOGUES)
+    + """SELECT 'line' AS kind, concat('{"title": "', conv_id, '", "solution": "x"') AS record """
+    "FROM dialogues WHERE conv_id % 3 = 0 UNION ALL "
+    "SELECT DISTINCT 'file', CAST(conv_id // 20 AS VARCHAR) FROM dialogues WHERE (conv_id // 20) % 4 = 1",
+    "caught_reward": _with(R.COMPLETIONS)
+    + "SELECT doc_id, CASE WHEN doc_id % 50 <> 7 THEN length(c)::DOUBLE END AS value, "
+    "CASE WHEN doc_id % 50 = 7 THEN 'ValueError: not this one' END AS error FROM completions WHERE c IS NOT NULL",
 }

@@ -12,7 +12,15 @@ from pyspark.sql import functions as F
 
 from gradus.functions import html as H
 from gradus.functions import text as T
-from gradus.functions.registry import batch_reward, register_reward, unregister_reward
+from gradus.functions.registry import (
+    batch_reward,
+    register_reward,
+    split_errors,
+    unregister_reward,
+)
+from gradus.functions.registry import (
+    caught_reward as caught,
+)
 from gradus.functions.rewards import ACTIVE, ALL
 from gradus.operators import extract as X
 from gradus.operators import prompts as P
@@ -41,6 +49,9 @@ from gradus.sources.problems import (
     read_problems,
     write_problems,
 )
+from gradus.sources.problems import (
+    malformed_records as bad_records,
+)
 from gradus.sources.schemas import KEYED_PROBLEM
 from gradus.streaming.collect import PageStores, collect_stream, read_collected
 from gradus.streaming.score import score_stream
@@ -107,6 +118,43 @@ def json_round_trip(spark, sf_dir):
     )
 
 
+def _array_files(spark, sf_dir) -> str:
+    """Dialogues as files of one JSON array each, twenty numbers a file; every fourth
+    file ends too early."""
+    path = shared_path(spark, "arrays")
+    records = D.dialogues(spark, sf_dir).withColumn("file", F.floor(F.col("conv_id") / 20))
+    record = F.struct(F.col("conv_id").cast("string").alias("title"), "description", "solution")
+    arrays = records.groupBy("file").agg(
+        F.array_join(F.collect_list(F.to_json(record)), ",\n").alias("held")
+    )
+    whole = F.concat(F.lit("["), "held", F.lit("]"))
+    cut = F.concat(F.lit("["), F.left("held", F.length("held") - 9))
+    made = arrays.select("file", F.when(F.col("file") % 4 == 1, cut).otherwise(whole).alias("value"))
+    # One row, so one file, in each folder.
+    made.write.partitionBy("file").text(path)
+    return path
+
+
+@query
+def json_array_read(spark, sf_dir):
+    """A tolerant read: files that end too early are left out, each as a whole."""
+    back = read_problems(spark, f"{_array_files(spark, sf_dir)}/file=*", fmt="json")
+    return back.select("title", "description", "solution", F.col("sample_tests").isNull().alias("no_samples"))
+
+
+@query
+def malformed_records(spark, sf_dir):
+    """The dead letters of both forms: lines that are no record, files cut short."""
+    path = shared_path(spark, "lines")
+    text = F.format_string('{"title": "%d", "solution": "x"', "conv_id")
+    closed = F.when(F.col("conv_id") % 3 == 0, text).otherwise(F.concat(text, F.lit("}")))
+    D.dialogues(spark, sf_dir).select(closed).write.text(path)
+    lines = bad_records(spark, path).select(F.lit("line").alias("kind"), "record")
+    files = bad_records(spark, f"{_array_files(spark, sf_dir)}/file=*", fmt="json")
+    number = F.regexp_extract("file", "file=([0-9]+)", 1)
+    return lines.unionByName(files.select(F.lit("file").alias("kind"), number.alias("record")))
+
+
 @query
 def task_grid(spark, sf_dir):
     return J.with_letters(D.contests(spark, sf_dir))
@@ -566,6 +614,20 @@ def python_reward(spark, sf_dir):
     return D.completions(spark, sf_dir).select("doc_id", value.alias("value"))
 
 
+@query
+def caught_reward(spark, sf_dir):
+    """A user rule that raises on some rows: they are dead letters, all others score."""
+
+    def strict(prompts, completions, answer, **kwargs):
+        if any(int(a) % 50 == 7 for a in answer):
+            raise ValueError("not this one")
+        return [len(c[0]["content"]) for c in completions]
+
+    value = caught(strict, F.col("prompt"), F.col("completion"), F.col("answer"))
+    scored = D.completions(spark, sf_dir).where("completion[0].content IS NOT NULL").select("doc_id", value.alias("value"))
+    return split_errors(scored, "value")
+
+
 # --- Incremental collection and streams ----------------------------------------
 
 
