@@ -38,14 +38,17 @@ def discard(*frames: DataFrame) -> None:
 MOST_BUCKETS = 1 << 16
 
 
-def stored_by(df: DataFrame, name: str, key: str, n_buckets: int) -> DataFrame:
+def stored_by(
+    df: DataFrame, name: str, key: str, n_buckets: int, dealt: bool = False
+) -> DataFrame:
     """Like ``stored``, dealt to buckets of ``key``: joins on it don't shuffle the rows
-    again."""
+    again. ``dealt``: the rows come from such a table and lie in its buckets."""
     spark = df.sparkSession
     n_buckets = min(n_buckets, MOST_BUCKETS)
     path = shared_path(spark, name)
     table = "stored_" + path.rpartition("-")[2]
-    rows = df.repartition(n_buckets, key).write.bucketBy(n_buckets, key).sortBy(key)
+    rows = df if dealt else df.repartition(n_buckets, key)
+    rows = rows.write.bucketBy(n_buckets, key).sortBy(key)
     rows.option("path", path).format("parquet").saveAsTable(table)
     return spark.table(table)
 

@@ -453,10 +453,15 @@ def _to_all(
     return _merged(parts, stored(opened(active, *_doubtful(active, queries, members)), "found"))
 
 
-def linked_groups(active: DataFrame) -> DataFrame:
-    """``node, component`` of every set that may link."""
-    tokens = stored(
-        active.select("node", "n", F.explode("tokens").alias("token")).distinct(), "tokens"
+def linked_groups(active: DataFrame, n_buckets: int) -> DataFrame:
+    """``node, component`` of every set that may link. ``active`` lies in so many buckets
+    of ``node``."""
+    tokens = stored_by(
+        active.select("node", "n", F.explode("tokens").alias("token")).distinct(),
+        "tokens",
+        "node",
+        n_buckets,
+        dealt=True,
     )
     keys = tokens.groupBy("node").agg(F.min("token").alias("key"))
     leaders = keys.groupBy("key").agg(F.min("node").alias("g"))
@@ -504,9 +509,9 @@ def classes(docs: DataFrame) -> DataFrame:
         ),
         "active",
         "node",
-        buckets_for(n_bytes, 4 * BUCKET_BYTES),
+        n_buckets,
     )
-    groups = linked_groups(active)
+    groups = linked_groups(active, n_buckets)
     # Classes outside all groups are components of their own.
     part = named.join(groups, "node", "left").select(
         *same, "id", "hash", F.coalesce("component", "node").alias("g")
