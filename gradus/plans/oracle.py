@@ -378,6 +378,9 @@ ORACLES |= {
     "json_array_read": _with(DIALOGUES)
     + "SELECT CAST(conv_id AS VARCHAR) AS title, description, solution, TRUE AS no_samples "
     "FROM dialogues WHERE (conv_id // 20) % 4 <> 1",
+    "json_array_split": _with(DIALOGUES)
+    + "SELECT CAST(conv_id AS VARCHAR) AS title, description, solution, TRUE AS no_samples "
+    "FROM dialogues WHERE (conv_id // 200) % 4 <> 1",
     "malformed_records": _with(DIALOGUES)
     + """SELECT 'line' AS kind, concat('{"title": "', conv_id, '", "solution": "x"') AS record """
     "FROM dialogues WHERE conv_id % 3 = 0 UNION ALL "

@@ -142,6 +142,31 @@ def json_array_read(spark, sf_dir):
     return back.select("title", "description", "solution", F.col("sample_tests").isNull().alias("no_samples"))
 
 
+def _indented_arrays(spark, sf_dir) -> str:
+    """Dialogues as array files whose records are indented by two spaces, 200 numbers a
+    file; every fourth file lacks its end."""
+    path = shared_path(spark, "indented")
+    records = D.dialogues(spark, sf_dir).withColumn("file", F.floor(F.col("conv_id") / 200))
+    record = F.struct(F.col("conv_id").cast("string").alias("title"), "description", "solution")
+    lines = F.replace(F.to_json(record, {"pretty": "true"}), F.lit("\n"), F.lit("\n  "))
+    arrays = records.groupBy("file").agg(
+        F.array_join(F.collect_list(lines), ",\n  ").alias("held")
+    )
+    end = F.when(F.col("file") % 4 == 1, "").otherwise("\n]")
+    made = arrays.select("file", F.concat(F.lit("[\n  "), "held", end).alias("value"))
+    made.write.partitionBy("file").text(path)
+    return path
+
+
+@query
+def json_array_split(spark, sf_dir):
+    """The same read of array files that many tasks share, each file by its records."""
+    back = read_problems(
+        spark, f"{_indented_arrays(spark, sf_dir)}/file=*", fmt="json", indent=2
+    )
+    return back.select("title", "description", "solution", F.col("sample_tests").isNull().alias("no_samples"))
+
+
 @query
 def malformed_records(spark, sf_dir):
     """The dead letters of both forms: lines that are no record, files cut short."""

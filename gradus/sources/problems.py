@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
@@ -31,12 +31,14 @@ def read_problems(
     fmt: str = "json",
     tolerant: bool = True,
     schema: StructType = PROBLEM,
+    indent: int | None = None,
 ) -> DataFrame:
     """Problem records from ``path``.
 
-    ``fmt`` is ``json`` for whole files that each hold one JSON array (one task
-    per file: for exchange, not for bulk), or ``jsonl`` / ``parquet`` / ``orc``
-    for the splittable forms. A tolerant read gives an empty dataset for a missing
+    ``fmt`` is ``json`` for files that each hold one JSON array, or ``jsonl`` /
+    ``parquet`` / ``orc``. An array file is read by one task, unless ``indent`` says by
+    how many spaces its records are indented: then it is split between records and
+    read by many. A tolerant read gives an empty dataset for a missing
     path, leaves out malformed records (an array file is one record: it is read
     whole or not at all) and runs nothing when the plan is built; see
     ``malformed_records`` for what was left out. A strict read raises instead.
@@ -45,6 +47,8 @@ def read_problems(
         if tolerant:
             return read_or_empty(spark, path, schema, fmt)
         return spark.read.schema(schema).format(fmt).load(path)
+    if fmt == "json" and indent is not None:
+        return _split_records(spark, path, indent, tolerant, schema)
     options = {"multiLine": fmt == "json"}
     if not tolerant:
         return spark.read.schema(schema).json(path, mode="FAILFAST", **options)
@@ -65,15 +69,124 @@ def _checked(spark: SparkSession, path: str, fmt: str, schema: StructType) -> Da
     )
 
 
+def _pieces(spark: SparkSession, path: str, indent: int) -> DataFrame:
+    """``file, piece, items``: array files cut where a record ends, and the JSON texts
+    of a piece's records; null if it holds something else.
+
+    JSON has no line breaks within strings, so a line break, ``indent`` spaces and a
+    brace only stand at the end of a record. Spark's text reader splits files at them
+    as it does at line ends: nothing is shuffled, and a record over two splits is read
+    by the first. A file of another layout stays one piece, the whole array.
+    """
+    end = "\n" + " " * indent + "}"
+    lines = spark.read.option("lineSep", end).text(path)
+    piece = F.regexp_replace("value", r"\A[\s\uFEFF]+|\s+\z", "")
+
+    def parsed(text: Column) -> Column:
+        return F.from_json(text, "array<string>")
+
+    # "[" begins the file, "," a later piece, "]" alone is what the last record leaves.
+    starts = F.col("piece").rlike(r"\A(\[|\]\z|,\s*[^\s,\]])")
+    body = F.concat(F.lit("["), F.regexp_replace("piece", r"\A[\[,]", ""))
+    closed = F.when(F.endswith("piece", F.lit("]")), parsed(body))
+    return (
+        lines.select(F.col("_metadata.file_path").alias("file"), piece.alias("piece"))
+        .where("piece <> ''")
+        .withColumn("closed", F.when(starts, closed))
+        .select(
+            "file",
+            "piece",
+            F.startswith("piece", F.lit("[")).alias("opens"),
+            F.col("closed").isNotNull().alias("closes"),
+            F.coalesce(
+                "closed", F.when(starts, parsed(F.concat(body, F.lit("}]"))))
+            ).alias("items"),
+        )
+    )
+
+
+def _records_of(pieces: DataFrame, schema: StructType) -> DataFrame:
+    """Records of the pieces' items, with ``file`` and the text of malformed ones."""
+    record = F.from_json(
+        "item",
+        StructType([*schema.fields]).add(_CORRUPT, StringType()),
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT},
+    )
+    return (
+        pieces.select("file", F.explode("items").alias("item"))
+        .where("item IS NOT NULL")
+        .select("file", record.alias("record"))
+        .select("file", "record.*")
+    )
+
+
+def _broken_files(pieces: DataFrame, schema: StructType) -> DataFrame:
+    """``file, failed``: array files that are not one array of records, and how many of
+    their pieces or records failed. At most a row per input file, whose list the
+    driver holds anyway, so it can be broadcast."""
+    frames = pieces.groupBy("file").agg(
+        F.count_if("opens").alias("opens"),
+        F.count_if("closes").alias("closes"),
+        F.count_if(F.col("items").isNull()).alias("failed"),
+    )
+    broken = frames.where("opens <> 1 OR closes <> 1 OR failed > 0")
+    records = _records_of(pieces, schema).where(F.col(_CORRUPT).isNotNull())
+    bad = records.groupBy("file").agg(F.count("*").alias("failed"))
+    both = broken.select("file", "failed").unionByName(bad)
+    return F.broadcast(both.groupBy("file").agg(F.sum("failed").alias("failed")))
+
+
+def _split_records(
+    spark: SparkSession, path: str, indent: int, tolerant: bool, schema: StructType
+) -> DataFrame:
+    """Records of array files, read in pieces. Of a broken file a tolerant read gives
+    nothing, as of one that is read whole; a strict one raises."""
+    try:
+        pieces = _pieces(spark, path, indent)
+    except AnalysisException as error:
+        if not tolerant or error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    broken = _broken_files(pieces, schema)
+    if tolerant:
+        pieces = pieces.join(broken, "file", "left_anti")
+    else:
+        message = F.concat(F.lit("malformed JSON array: "), "file")
+        good = F.when(F.col("failed").isNull(), True).otherwise(F.raise_error(message))
+        pieces = pieces.join(broken, "file", "left").where(good.cast("boolean"))
+    return _records_of(pieces, schema).select(*schema.fieldNames())
+
+
 def _read_too(schema: StructType):
     """Always true. Spark wants another column to be read beside the corrupt text."""
     return F.length(F.concat_ws("", F.col(schema.fieldNames()[0]).cast("string"))) >= 0
 
 
 def malformed_records(
-    spark: SparkSession, path: str, *, fmt: str = "jsonl", schema: StructType = PROBLEM
+    spark: SparkSession,
+    path: str,
+    *,
+    fmt: str = "jsonl",
+    schema: StructType = PROBLEM,
+    indent: int | None = None,
 ) -> DataFrame:
-    """``file, record``: the dead letters of a tolerant JSON read."""
+    """``file, record``: the dead letters of a tolerant JSON read. With ``indent`` they
+    are the failing pieces and records of array files, or one null for a file whose
+    brackets alone are wrong."""
+    if fmt == "json" and indent is not None:
+        try:
+            pieces = _pieces(spark, path, indent)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], "file string, record string")
+        failing = pieces.where(F.col("items").isNull()).select("file", F.col("piece").alias("record"))
+        bad = _records_of(pieces, schema).where(F.col(_CORRUPT).isNotNull())
+        frames = _broken_files(pieces, schema).where("failed = 0")
+        return (
+            failing.unionByName(bad.select("file", F.col(_CORRUPT).alias("record")))
+            .unionByName(frames.select("file", F.lit(None).cast("string").alias("record")))
+        )
     df = _checked(spark, path, fmt, schema)
     return df.where(F.col(_CORRUPT).isNotNull() & _read_too(schema)).select(
         F.input_file_name().alias("file"), F.col(_CORRUPT).alias("record")

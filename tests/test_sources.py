@@ -34,6 +34,90 @@ def test_json_array(spark, tmp_path):
         assert rows[1].description is None and rows[1].sample_tests == []
 
 
+def _many(n):
+    text = '"}\n  },\n  {\\ ]'
+    return [
+        {**RECORDS[i % 2], "title": f"{i} {text}", "solution": "x\\n  }" * (i % 7)} for i in range(n)
+    ]
+
+
+def _titles(df):
+    return sorted((r.title, r.solution, str(r.sample_tests)) for r in df.collect())
+
+
+@pytest.fixture
+def small_splits(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = {n: spark.conf.get(n) for n in names}
+    for n in names:
+        spark.conf.set(n, "2048")
+    yield
+    for n, v in old.items():
+        spark.conf.set(n, v)
+
+
+def test_one_array_is_read_by_many_tasks(spark, tmp_path, small_splits):
+    path = write(tmp_path / "a.json", json.dumps(_many(300), ensure_ascii=False, indent=2))
+    whole = S.read_problems(spark, path)
+    for tolerant in (True, False):
+        split = S.read_problems(spark, path, indent=2, tolerant=tolerant)
+        assert _titles(split) == _titles(whole) and split.count() == 300
+        assert split.schema == S.PROBLEM
+        with_rows = split.select(F.spark_partition_id()).distinct().count()
+        assert whole.rdd.getNumPartitions() == 1 < 20 < with_rows
+    assert S.malformed_records(spark, path, fmt="json", indent=2).count() == 0
+    # Records are split by the reader: none is shuffled.
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(file" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "[]",
+        "[\n]\n",
+        json.dumps(_many(9)),
+        json.dumps(_many(9), indent=4),
+        json.dumps(_many(9), indent=1),
+        json.dumps(_many(9), indent=0),
+        json.dumps(_many(9), indent=2).replace("\n", "\r\n"),
+        json.dumps([{}, {}, RECORDS[0], {}], indent=2),
+        "[" + ",\n".join(json.dumps(r) for r in _many(9)) + "]",
+    ],
+)
+def test_any_layout_is_read_right(spark, tmp_path, small_splits, text):
+    path = write(tmp_path / "a.json", text)
+    rows = sorted(
+        (r.title or "", r.solution or "") for r in S.read_problems(spark, path, indent=2).collect()
+    )
+    assert rows == sorted((r.get("title", ""), r.get("solution", "")) for r in json.loads(text))
+    assert S.malformed_records(spark, path, fmt="json", indent=2).count() == 0
+
+
+def test_a_broken_array_is_left_out_whole(spark, tmp_path, small_splits):
+    good = json.dumps(_many(60), indent=2)
+    write(tmp_path / "good.json", good)
+    write(tmp_path / "cut.json", good[: len(good) // 2])
+    write(tmp_path / "open.json", good[:-2])
+    write(tmp_path / "kind.json", good.replace('"sample_tests": []', '"sample_tests": 7', 1))
+    write(tmp_path / "twice.json", good + good)
+    write(tmp_path / "text.json", "not json")
+    path = str(tmp_path)
+    assert S.read_problems(spark, path, indent=2).count() == 60
+    dead = S.malformed_records(spark, path, fmt="json", indent=2).collect()
+    names = sorted(r.file.rsplit("/", 1)[1] for r in dead)
+    assert set(names) == {"cut.json", "kind.json", "open.json", "text.json", "twice.json"}
+    assert [r.record for r in dead if r.file.endswith("open.json")] == [None]
+    assert all("7" in r.record for r in dead if r.file.endswith("kind.json"))
+    with pytest.raises(Exception, match="malformed JSON array"):
+        S.read_problems(spark, path, indent=2, tolerant=False).collect()
+    missing = str(tmp_path / "none")
+    assert S.read_problems(spark, missing, indent=2).count() == 0
+    assert S.malformed_records(spark, missing, fmt="json", indent=2).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        S.read_problems(spark, missing, indent=2, tolerant=False)
+
+
 def test_missing_and_malformed(spark, tmp_path):
     missing = str(tmp_path / "none.json")
     assert S.read_problems(spark, missing).count() == 0
