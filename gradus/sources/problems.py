@@ -80,14 +80,15 @@ def _pieces(spark: SparkSession, path: str, indent: int) -> DataFrame:
     """
     end = "\n" + " " * indent + "}"
     lines = spark.read.option("lineSep", end).text(path)
-    piece = F.regexp_replace("value", r"\A[\s\uFEFF]+|\s+\z", "")
+    piece = F.trim("value", F.lit(" \t\r\n\ufeff"))
 
     def parsed(text: Column) -> Column:
         return F.from_json(text, "array<string>")
 
     # "[" begins the file, "," a later piece, "]" alone is what the last record leaves.
-    starts = F.col("piece").rlike(r"\A(\[|\]\z|,\s*[^\s,\]])")
-    body = F.concat(F.lit("["), F.regexp_replace("piece", r"\A[\[,]", ""))
+    starts = F.col("piece").rlike(r"\A(\[|\]\z|,\s*+[^,\]])")
+    bare = F.when(F.col("piece") == "]", F.col("piece")).otherwise(F.substr("piece", F.lit(2)))
+    body = F.concat(F.lit("["), bare)
     closed = F.when(F.endswith("piece", F.lit("]")), parsed(body))
     return (
         lines.select(F.col("_metadata.file_path").alias("file"), piece.alias("piece"))
@@ -105,35 +106,33 @@ def _pieces(spark: SparkSession, path: str, indent: int) -> DataFrame:
     )
 
 
-def _records_of(pieces: DataFrame, schema: StructType) -> DataFrame:
-    """Records of the pieces' items, with ``file`` and the text of malformed ones."""
-    record = F.from_json(
-        "item",
+def _checked_record(item: Column, schema: StructType) -> Column:
+    """A record, with its text beside it where it is malformed."""
+    return F.from_json(
+        item,
         StructType([*schema.fields]).add(_CORRUPT, StringType()),
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT},
     )
-    return (
-        pieces.select("file", F.explode("items").alias("item"))
-        .where("item IS NOT NULL")
-        .select("file", record.alias("record"))
-        .select("file", "record.*")
+
+
+def _bad_items(schema: StructType) -> Column:
+    return F.filter(
+        "items", lambda item: _checked_record(item, schema)[_CORRUPT].isNotNull()
     )
 
 
 def _broken_files(pieces: DataFrame, schema: StructType) -> DataFrame:
     """``file, failed``: array files that are not one array of records, and how many of
-    their pieces or records failed. At most a row per input file, whose list the
+    their pieces and records failed. At most a row per input file, whose list the
     driver holds anyway, so it can be broadcast."""
-    frames = pieces.groupBy("file").agg(
+    bad = F.when(F.col("items").isNull(), 1).otherwise(F.size(_bad_items(schema)))
+    files = pieces.groupBy("file").agg(
         F.count_if("opens").alias("opens"),
         F.count_if("closes").alias("closes"),
-        F.count_if(F.col("items").isNull()).alias("failed"),
+        F.sum(bad).alias("failed"),
     )
-    broken = frames.where("opens <> 1 OR closes <> 1 OR failed > 0")
-    records = _records_of(pieces, schema).where(F.col(_CORRUPT).isNotNull())
-    bad = records.groupBy("file").agg(F.count("*").alias("failed"))
-    both = broken.select("file", "failed").unionByName(bad)
-    return F.broadcast(both.groupBy("file").agg(F.sum("failed").alias("failed")))
+    broken = files.where("opens <> 1 OR closes <> 1 OR failed > 0")
+    return F.broadcast(broken.select("file", "failed"))
 
 
 def _split_records(
@@ -154,7 +153,9 @@ def _split_records(
         message = F.concat(F.lit("malformed JSON array: "), "file")
         good = F.when(F.col("failed").isNull(), True).otherwise(F.raise_error(message))
         pieces = pieces.join(broken, "file", "left").where(good.cast("boolean"))
-    return _records_of(pieces, schema).select(*schema.fieldNames())
+    # Not "explode": its filter on the array would parse each piece once more.
+    items = pieces.select(F.explode_outer("items").alias("item")).where("item IS NOT NULL")
+    return items.select(F.from_json("item", schema).alias("record")).select("record.*")
 
 
 def _read_too(schema: StructType):
@@ -180,12 +181,11 @@ def malformed_records(
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return spark.createDataFrame([], "file string, record string")
-        failing = pieces.where(F.col("items").isNull()).select("file", F.col("piece").alias("record"))
-        bad = _records_of(pieces, schema).where(F.col(_CORRUPT).isNotNull())
+        failing = F.when(F.col("items").isNull(), F.array("piece")).otherwise(_bad_items(schema))
+        dead = pieces.select("file", F.explode(failing).alias("record"))
         frames = _broken_files(pieces, schema).where("failed = 0")
-        return (
-            failing.unionByName(bad.select("file", F.col(_CORRUPT).alias("record")))
-            .unionByName(frames.select("file", F.lit(None).cast("string").alias("record")))
+        return dead.unionByName(
+            frames.select("file", F.lit(None).cast("string").alias("record"))
         )
     df = _checked(spark, path, fmt, schema)
     return df.where(F.col(_CORRUPT).isNotNull() & _read_too(schema)).select(
