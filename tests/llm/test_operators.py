@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -336,6 +337,31 @@ def test_rules(spark):
     assert url_filter.judge(pages.limit(0)).collect() == []
 
 
+def test_grams_of_very_long_urls(spark):
+    k = url_filter.ORDER
+    texts = ["", "a", "aé😀b/c", "x" * 9 + "é" * 9, "ab/é" * 250_000]
+    frame_ = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    out = frame_.select("i", url_filter.grams(F.col("t")).alias("g")).cache()
+    start = time.perf_counter()
+    assert {r.i: r.n for r in out.select("i", F.size("g").alias("n")).collect()} == {
+        i: len(t) + 1 for i, t in enumerate(texts)
+    }
+    assert time.perf_counter() - start < 20  # the square of a million takes hours
+    for r in out.where("i < 4").collect():
+        padded = url_filter.PAD * k + texts[r.i] + url_filter.END
+        assert r.g == [padded[j - k : j + 1] for j in range(k, len(padded))]
+    out.unpersist()
+
+
+def test_repeated_urls_and_ties(spark):
+    """Repeated rows are all judged, alike; without examples every score ties with 0."""
+    urls = ["http://a.net/x", "http://a.net/x", None, None, "none", "http://b.net/" + "y" * 3000]
+    pages = spark.createDataFrame([(i // 2, u) for i, u in enumerate(urls)], "page_id bigint, url string")
+    got = url_filter.judge(pages).collect()
+    assert sorted(r.page_id for r in got) == [0, 0, 1, 1, 2, 2]
+    assert {(r.verdict, r.score, r.rule) for r in got} == {("allow", 0.0, None)}
+
+
 def test_markov_scores(spark):
     from zlib import crc32
 
