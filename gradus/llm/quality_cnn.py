@@ -1,14 +1,15 @@
 """Quality classifier: a convolutional network over bytes, in numpy.
 
 A text's UTF-8 bytes are cut into chunks that overlap, so that the whole text is
-covered. Each byte has a learned vector; learned filters run over ``WIDTH`` bytes;
+covered; chunks are made a few hundred at a time, so long texts take no more memory. Each byte has a learned vector; learned filters run over ``WIDTH`` bytes;
 the largest response in a chunk counts. A text is the largest and the mean response
 of its chunks, combined by a logistic unit into one probability.
 
 For scoring, vectors and filters are folded into one table per place in the filter,
 so a filter is a sum of table rows. The network is trained on the driver on a bounded
-sample (``SAMPLE_ROWS`` labelled texts of at most ``SAMPLE_BYTES`` bytes); every text
-is scored whole, in the tasks, without a shuffle.
+sample: ``SAMPLE_ROWS`` labelled texts, and of a text longer than ``SAMPLE_BYTES`` bytes
+``SAMPLE_PIECES`` pieces, spread evenly from its beginning to its end. Every text is
+scored whole, in the tasks, without a shuffle.
 
 Defined results: null and empty texts are one chunk of padding; labels that are null
 or have no text teach nothing; without labels of both classes the score is the share
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +32,7 @@ from gradus.llm.common import crc_mod
 
 SAMPLE_ROWS = 3_000
 SAMPLE_BYTES = 16_384
+SAMPLE_PIECES = 16
 CHUNK = 256
 STEP = 192
 WIDTH = 5
@@ -41,19 +43,32 @@ HELD_OUT = 5
 CUT = 0.3
 
 
-def chunked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Chunks of all texts, one row each, and each text's first row. Rows are
-    ``CHUNK + WIDTH - 1`` bytes and don't reach into the next text."""
+def chunk_starts(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many chunks each text has, summed up, and the text of each chunk."""
     sizes = np.diff(offsets)
     rows = np.maximum(1, -(-np.maximum(sizes - (CHUNK - STEP), 0) // STEP))
     first = np.concatenate([[0], np.cumsum(rows)])
-    text = np.repeat(np.arange(len(rows)), rows)
-    start = offsets[:-1][text] + STEP * (np.arange(len(text)) - first[:-1][text])
+    return first, np.repeat(np.arange(len(rows)), rows)
+
+
+def chunk_rows(
+    data: np.ndarray, offsets: np.ndarray, first: np.ndarray, text: np.ndarray, lo: int, hi: int
+) -> np.ndarray:
+    """Chunks ``lo`` to ``hi``, one row each. Rows are ``CHUNK + WIDTH - 1`` bytes and
+    don't reach into the next text."""
+    text = text[lo:hi]
+    start = offsets[:-1][text] + STEP * (np.arange(lo, lo + len(text)) - first[:-1][text])
     at = start[:, None] + np.arange(CHUNK + WIDTH - 1)
-    inside = at < offsets[1:][text][:, None]
     if not len(data):
-        return np.zeros(at.shape, np.uint8), first
-    return np.where(inside, data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8), first
+        return np.zeros(at.shape, np.uint8)
+    inside = at < offsets[1:][text][:, None]
+    return np.where(inside, data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
+
+
+def chunked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chunks of all texts, and each text's first row."""
+    first, text = chunk_starts(offsets)
+    return chunk_rows(data, offsets, first, text, 0, len(text)), first
 
 
 class Network:
@@ -92,11 +107,13 @@ class Network:
         if len(offsets) < 2:
             return np.zeros(0)
         tables = self.tables()
-        rows, first = chunked(data, offsets)
+        first, text = chunk_starts(offsets)
         peaks = np.concatenate(
             [
-                self.responses(tables, rows[i : i + rows_at_once]).max(1)
-                for i in range(0, len(rows), rows_at_once)
+                self.responses(
+                    tables, chunk_rows(data, offsets, first, text, i, i + rows_at_once)
+                ).max(1)
+                for i in range(0, len(text), rows_at_once)
             ]
         )
         return self.probability(self.pooled(peaks, first))
@@ -166,6 +183,17 @@ class Constant:
         return np.full(len(offsets) - 1, self.value)
 
 
+def sampled(text) -> Column:
+    """The text, or of one longer than ``SAMPLE_BYTES`` its pieces one after another."""
+    raw = text.cast("binary")
+    size = SAMPLE_BYTES // SAMPLE_PIECES
+    gap = (F.octet_length(text) - size).cast("double") / (SAMPLE_PIECES - 1)
+    pieces = [
+        F.substr(raw, F.floor(gap * i).cast("int") + 1, F.lit(size)) for i in range(SAMPLE_PIECES)
+    ]
+    return F.when(F.octet_length(text) <= SAMPLE_BYTES, raw).otherwise(F.concat(*pieces))
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
     """A network from labelled rows that aren't held out."""
     chosen = (
@@ -178,8 +206,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
     # At most sample_rows rows of two numbers.
     rows = (
         docs.select("doc_id", F.col("text").cast("string").alias("text"))
-        .where(F.octet_length("text") <= SAMPLE_BYTES)
+        .where("text IS NOT NULL")
         .join(F.broadcast(chosen), "doc_id")
+        .select("doc_id", "_q", sampled(F.col("text")).alias("text"))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "_q", "text")
         .limit(sample_rows)
         .select("text", "_q")
@@ -188,7 +217,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
     good = np.array([r["_q"] != 0 for r in rows], np.float32)
     if not len(good) or good.min() == good.max():
         return Constant(float(good.mean()) if len(good) else 0.5)
-    return train([r["text"].encode() for r in rows], good)
+    return train([bytes(r["text"]) for r in rows], good)
 
 
 def score(docs: DataFrame, model) -> DataFrame:
