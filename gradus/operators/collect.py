@@ -19,6 +19,7 @@ from gradus.operators.extract import (
 from gradus.operators.tasks import (
     CONTEST_PREFIX,
     one_per_key,
+    parsed_per_key,
     skip_collected,
     skip_collected_by_key,
 )
@@ -59,7 +60,7 @@ def solutions_for(
     pages = submission_pages.select(*page_keys, "html").join(
         listed, page_keys, "left_semi"
     )
-    code = one_per_key(submission_code(pages), page_keys, error="error")
+    code = parsed_per_key(pages, page_keys, submission_code)
     code = code.withColumnRenamed("error", "__code_error")
     return picks.join(code, page_keys, "left").select(
         *TASK_KEYS, "solution", F.coalesce("error", "__code_error").alias("error")
@@ -78,12 +79,11 @@ def collect_outcomes(
     ``skip_pages_by_title``, by the titles of records without keys. Tasks without
     problem or solution give no row."""
     fresh = skip(problem_pages, existing)
-    parsed = problem_records(
-        page_parts(fresh.select(*TASK_KEYS, "html"), statement_only=True)
-    )
-    problems = one_per_key(parsed, TASK_KEYS, error="error").withColumnRenamed(
-        "error", "__problem_error"
-    )
+    problems = parsed_per_key(
+        fresh.select(*TASK_KEYS, "html"),
+        TASK_KEYS,
+        lambda pages: problem_records(page_parts(pages, statement_only=True)),
+    ).withColumnRenamed("error", "__problem_error")
     solutions = solutions_for(
         fresh, list_pages, submission_pages
     ).withColumnRenamed("error", "__solution_error")

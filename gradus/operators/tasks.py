@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from gradus.functions.constants import (
     SUBMISSION_STATUS,
     TASK_LETTERS,
 )
+from gradus.session import materialise
 from gradus.sources.schemas import TASK_KEYS
 
 # A frame is broadcast on purpose only when its row count is known when the plan
@@ -235,3 +236,98 @@ def one_per_key(
         rank.append(F.col(order))
     row = F.min_by(rest, F.struct(*rank, rest)) if rank else F.min(rest)
     return df.groupBy(*keys).agg(row.alias("__row")).select(*keys, "__row.*")
+
+
+def one_text_per_key(
+    df: DataFrame, keys: Sequence[str], error: str = "error"
+) -> DataFrame:
+    """The rows of ``one_per_key(df, keys, error=error)``, chosen on slim rows: texts
+    are neither sorted nor shuffled to find copies.
+
+    ``df`` is stored once. Of each row its key, whether it has an ``error``, two
+    hashes and a number are aggregated in buffers of fixed width. What these decide,
+    equal copies and broken ones beside a good one, is dropped by number, which no
+    hot key can skew. Only good rows of one key that differ (or broken ones, where no
+    good one is) are compared by their texts. Null keys count as equal.
+    """
+    kept = materialise(df.withColumn("__id", F.monotonically_increasing_id()))
+    rest = [c for c in df.columns if c not in keys]
+    good = F.col(error).isNull()
+    slim = kept.select(
+        *keys,
+        good.alias("__good"),
+        F.xxhash64(*rest).alias("__hash"),
+        F.xxhash64(F.lit(1), *rest).alias("__check"),
+        "__id",
+    )
+    distinct = slim.groupBy(*keys, "__good", "__hash", "__check").agg(
+        F.min("__id").alias("__id"), F.count(F.lit(1)).alias("__n")
+    )
+    per_key = distinct.groupBy(*keys).agg(
+        F.sum("__n").alias("__n"),
+        F.count_if("__good").alias("__n_good"),
+        F.count(F.lit(1)).alias("__n_rows"),
+        F.min(F.when(F.col("__good"), F.col("__id"))).alias("__good_id"),
+        F.min("__id").alias("__any_id"),
+    )
+    if per_key.where("__n > 1").isEmpty():
+        return kept.drop("__id")
+
+    per_key = materialise(per_key)
+    none_good = F.col("__n_good") == 0
+    settled = F.when(none_good, F.col("__n_rows") == 1).otherwise(F.col("__n_good") == 1)
+    winners = per_key.where(settled).select(
+        F.coalesce("__good_id", "__any_id").alias("__id")
+    )
+    others = _checked(materialise(slim.select("__id").join(winners, "__id", "left_anti")))
+    chosen = kept.join(others, "__id", "left_anti").drop("__id")
+    open_keys = per_key.where(~settled).select(
+        none_good.alias("__none_good"), *(F.col(k).alias(f"__key_{k}") for k in keys)
+    )
+    if open_keys.isEmpty():
+        return chosen
+    same_key = [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]
+    disputed = distinct.join(
+        open_keys, [*same_key, F.col("__good") != F.col("__none_good")]
+    ).select("__id")
+    rows = kept.join(_checked(materialise(disputed)), "__id", "left_semi").drop("__id")
+    return chosen.unionByName(one_per_key(rows, keys, error=error))
+
+
+def parsed_per_key(
+    pages: DataFrame,
+    keys: Sequence[str],
+    parse: Callable[[DataFrame], DataFrame],
+    error: str = "error",
+) -> DataFrame:
+    """``one_per_key(parse(pages), keys, error=error)``; ``parse`` gives a row per page.
+
+    Keys that pages share are found before, by a scan of the keys alone. All other
+    pages, in general nearly all, pass with their texts neither stored nor compared.
+    Where too many keys are shared to tell their pages apart by a broadcast,
+    ``one_text_per_key`` chooses among all parsed rows.
+    """
+    copied = (
+        pages.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .where("__n > 1")
+        .select(*(F.col(k).alias(f"__key_{k}") for k in keys))
+    )
+    if copied.isEmpty():
+        return parse(pages)
+    copied = materialise(copied)
+    if copied.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return one_text_per_key(parse(pages), keys, error)
+    copied = F.broadcast(copied)
+    same_key = [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]
+    copies = parse(pages.join(copied, same_key, "left_semi"))
+    return parse(pages.join(copied, same_key, "left_anti")).unionByName(
+        one_text_per_key(copies, keys, error)
+    )
+
+
+def _checked(few: DataFrame) -> DataFrame:
+    """``few`` with a broadcast hint if its rows, counted, are below the bound."""
+    if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return F.broadcast(few)
+    return few

@@ -185,3 +185,33 @@ def test_first_accepted_takes_one_row_of_a_tie(spark):
     df = spark.createDataFrame(rows_, "task string, pos int, id string, code string")
     got = {r.task: tuple(r)[1:] for r in J.first_accepted(df, ["task"], "pos", "id", "code").collect()}
     assert got == {"t": (1, "a", "y"), "n": (None, None, None)}
+
+
+def test_one_text_per_key_equals_one_per_key(spark, monkeypatch):
+    rng = random.Random(7)
+    rows_ = [
+        (rng.choice(["a", "b", "c", "d", "e", None]), rng.choice([1, 2, None]), rng.choice("xyz"), rng.choice([None, None, "broken", "worse"]))
+        for _ in range(60)
+    ]
+    rows_ += [("hot", 1, "x", None)] * 300 + [("hot", 1, "x", "broken")] * 50 + [("alone", 1, "t", None), ("bad", 1, "t", "e")]
+    schema = "k string, n int, v string, error string"
+    for part in (rows_, rows_[-2:], [], [(None, None, None, None)] * 3, rows_[60:]):
+        df = spark.createDataFrame(part, schema).repartition(5)
+        want = sorted(map(repr, J.one_per_key(df, ["k", "n"], error="error").collect()))
+        assert sorted(map(repr, J.one_text_per_key(df, ["k", "n"]).collect())) == want
+        with monkeypatch.context() as patch:
+            patch.setattr(J, "BROADCAST_ROWS", 0)
+            assert sorted(map(repr, J.one_text_per_key(df, ["k", "n"]).collect())) == want
+            assert sorted(map(repr, J.parsed_per_key(df, ["k", "n"], lambda d: d).collect())) == want
+        assert sorted(map(repr, J.parsed_per_key(df, ["k", "n"], lambda d: d).collect())) == want
+
+
+def test_copies_are_dropped_without_sorting_texts(spark, sf_dir):
+    """Neither the plan of the result nor those of the jobs behind it aggregate texts by sort."""
+    from gradus.plans import queries as Q
+
+    plan = Q.collect_new(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    copies = spark.createDataFrame([("a", "x" * 50, None)] * 4 + [("a", "y", "broken"), ("b", "z", None)], "k string, v string, error string")
+    plan = J.one_text_per_key(copies, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hash" not in plan and "Aggregate" not in plan
