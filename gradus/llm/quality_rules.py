@@ -4,7 +4,8 @@
 ``learn_rules`` covers the bad texts of a labelled sample one rule at a time: a
 rule is a conjunction of thresholds that grows on two thirds of the sample by
 information gain and is pruned on the rest; texts it covers are taken out before
-the next rule is sought. ``verdict`` turns the ordered rules into one conditional
+the next rule is sought. A list has at most ``MAX_RULES`` rules of at most 4
+thresholds each; what they leave uncovered is kept. ``verdict`` turns the ordered rules into one conditional
 expression of Spark.
 
 Defined results: a null or empty text has zero of everything; a null label or a
