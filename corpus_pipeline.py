@@ -3,6 +3,11 @@
 Every stage takes all documents that the one before kept, and returns those that it
 keeps with all their columns, whatever else the table holds. The last one returns
 what the mix takes of each document.
+
+Defined results: null, empty and very short texts fail the base rules of the first
+stage; labels without a bad document teach no further rule; of copies the smallest id
+stays; texts left without words go; an empty table of documents gives no rows, and
+empty labels or benchmark items reject nothing. Whole texts pass, however long.
 """
 
 from __future__ import annotations
