@@ -702,21 +702,20 @@ def collect_failures(spark, sf_dir):
 
 
 def _stream(spark, sf_dir, name):
-    path = f"{sf_dir}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .parquet(sf_dir)
-    )
+    """A table's files as a stream. The table is one file or a folder of files: a stream
+    takes either where the path is a pattern."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{{{name}.parquet}}")
 
 
 @query
 def scored_stream(spark, sf_dir):
     target = shared_path(spark, "scores")
-    # The table is one file here; a stream of many files needs no repartition.
+    documents = _stream(spark, sf_dir, "documents")
+    # Like ``spread``, which cannot ask a stream: a table of many splits is not shuffled.
     cores = spark.sparkContext.defaultParallelism
-    documents = _stream(spark, sf_dir, "documents").repartition(3 * cores, "doc_id")
+    if D.table(spark, sf_dir, "documents").rdd.getNumPartitions() < cores:
+        documents = documents.repartition(3 * cores, "doc_id")
     score_stream(
         D.shaped_completions(documents), target, shared_path(spark, "score-offsets")
     ).awaitTermination()

@@ -14,6 +14,7 @@ from gradus.operators.collect import (
 )
 from gradus.operators.scoring import score, total_reward
 from gradus.plans import derived as D
+from gradus.plans.queries import QUERIES
 from gradus.sources.live import FAN, LiveFolders
 from gradus.sources.pages import append_pages, read_pages_of, read_store
 from gradus.sources.schemas import COMPLETION, KEYED_PROBLEM, TASK_PAGE
@@ -227,3 +228,22 @@ def test_many_batches_leave_few_files(spark, sf_dir, tmp_path):
     assert as_set(read_collected(spark, target)) == as_set(
         collect_increment(pages, *lookups, nothing)
     )
+
+
+def test_stream_queries_read_tables_of_many_files(spark, tmp_path):
+    """A table is one file, or a folder of files that bears its name."""
+    texts = ["a", "<answer>\n7\n</answer>\n", "one < two & three\n", None] * 12
+    rows = [(i, t, "en", "web", len(t or "")) for i, t in enumerate(texts)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, columns).coalesce(1)
+    folder, one = tmp_path / "folder", tmp_path / "one"
+    docs.repartition(3).write.parquet(str(folder / "documents.parquet"))
+    docs.write.parquet(str(tmp_path / "part"))
+    (written,) = (tmp_path / "part").glob("part-*.parquet")
+    one.mkdir()
+    (one / "documents.parquet").write_bytes(written.read_bytes())
+    for name in ("scored_stream", "collected_stream"):
+        found = as_set(QUERIES[name](spark, str(folder)))
+        assert found and found == as_set(QUERIES[name](spark, str(one)))
+        if name == "scored_stream":
+            assert len(found) == len(rows)
