@@ -3,10 +3,12 @@
 import subprocess
 import sys
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from gradus.functions.outline import outline
+from gradus.functions import outline as outline_module
+from gradus.functions.outline import outline, outlines, page_outline
 from gradus.operators import extract as X
 
 KEYS = "contest_id string, task_id string, html string"
@@ -330,3 +332,28 @@ def test_only_the_tags_asked_for(spark):
     (row,) = df.select(page_outline(F.col("html"), ("pre",)).alias("o")).collect()
     assert [e.tag for e in row.o.elements] == ["pre"]
     assert "".join(row.o.pieces[row.o.elements[0].lo : row.o.elements[0].hi]) == "x"
+
+
+def test_a_batch_of_pages_is_outlined_in_slices(spark, monkeypatch):
+    """No more pages are Python objects at once than a slice holds, a long one alone."""
+    monkeypatch.setattr(outline_module, "SLICE_BYTES", 60)
+    texts = ["<p>a</p>", None, "", "<p>é &lt; <b>b</b></p>", "<div>" + "long " * 40, "<p>z"] * 20
+    found = list(outlines(pa.array(texts)))
+    expected = pa.array([outline(t) for t in texts], type=found[0].type)
+    assert pa.concat_arrays(found).equals(expected)
+    at = 0
+    for part in found:
+        held = texts[at : at + len(part)]
+        assert len(part) == 1 or sum(len((t or "").encode()) for t in held) <= 60
+        at += len(part)
+    assert list(outlines(pa.array([], pa.string()))) == []
+    # The same through Spark: rows keep their pages, also where a task has none.
+    pages = spark.createDataFrame(list(enumerate(texts)), "i int, html string").repartition(3)
+    rows = pages.select("i", page_outline(F.col("html")).alias("o")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        expected = outline(texts[r.i])
+        assert (r.o and r.o.pieces) == (expected and expected["pieces"])
+        assert (r.o and [e.tag for e in r.o.elements]) == (
+            expected and [e["tag"] for e in expected["elements"]]
+        )
