@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradus.llm import match as M
-from gradus.llm.blocks import Block, blocks, range_names
+from gradus.llm.blocks import CACHED_BYTES, Block, blocks, byte_sums, names_of, range_names
 from gradus.llm.common import buckets_for, text_bytes
 
 WINDOW = 200
@@ -44,10 +44,12 @@ SPAN = 48
 GRAM = 8
 #: Cuts at least so far inside a window don't depend on what is around it.
 MARGIN = SPAN + GRAM
-BUCKET_BYTES = 96 << 20
+BUCKET_BYTES = 80 << 20
 BLOCK_BYTES = 1 << 20
 
 _SETTLED, _SORTED = 1, 2
+#: ``np.add.at`` is many times slower with a plain number.
+_ONE = np.int32(1)
 
 PLACES = "bucket int, ids binary, hashes binary, counts binary, pieces binary, keys binary, checks binary, several binary, mask binary"
 _NAMES = [x.split()[0] for x in PLACES.split(", ")]
@@ -67,34 +69,52 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
 
 def cuts_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Cuts of a block's texts, as offsets. A text's cuts don't depend on the texts
-    around it."""
+    around it, and a cut on no more than ``SPAN`` hashes to each side: a stretch at a
+    time is searched with what it needs around it."""
     n = len(data) - GRAM + 1
     if n < SPAN:
         return np.zeros(0, np.int64)
+    found = []
+    for lo in range(0, n, CACHED_BYTES):
+        hi = min(lo + CACHED_BYTES, n)
+        start, stop = max(lo - SPAN + 1, 0), min(hi + MARGIN, len(data))
+        edges = offsets[np.searchsorted(offsets, start, "right") : np.searchsorted(offsets, stop)]
+        at = _cuts_within(data[start:stop], edges - start) + start
+        found.append(at[(at >= lo) & (at < hi)])
+    return np.concatenate(found) + GRAM
+
+
+def _cuts_within(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where the 8 bytes before a cut start; ``edges``: where texts begin."""
+    n = len(data) - GRAM + 1
+    wide = data.astype(np.uint32)
     gram = np.zeros(n, np.uint32)
     for j in range(GRAM):
         gram *= np.uint32(0x01000193)
-        gram ^= data[j : j + n]
+        gram ^= wide[j : j + n]
     gram ^= gram >> np.uint32(15)
     gram *= np.uint32(0x2C1B3C6D)
     gram ^= gram >> np.uint32(12)
-    least = _sliding(gram, SPAN, np.minimum)
+    pad = np.zeros(n + SPAN - 1, np.uint32)
+    least = pad[SPAN - 1 : n]
+    least[:] = _sliding(gram, SPAN, np.minimum)
     # Stretches that reach over a text's end choose nothing.
-    over = np.zeros(len(data) + 1, np.int32)
-    np.add.at(over, np.maximum(offsets[1:-1] - MARGIN + 2, 0), 1)
-    np.add.at(over, offsets[1:-1], -1)
-    least = np.where(np.cumsum(over)[: len(least)] > 0, np.uint32(0), least)
+    if len(edges):
+        over = np.zeros(len(data) + 1, np.int32)
+        np.add.at(over, np.maximum(edges - MARGIN + 2, 0), _ONE)
+        np.add.at(over, edges, -_ONE)
+        least[np.cumsum(over, dtype=np.int32)[: len(least)] > 0] = 0
     # A place is a cut if it is the least of any stretch that holds it.
-    pad = np.zeros(SPAN - 1, np.uint32)
-    best = _sliding(np.concatenate([pad, least, pad]), SPAN, np.maximum)
-    return np.flatnonzero((best == gram) & (gram > 0)) + GRAM
+    best = _sliding(pad, SPAN, np.maximum)
+    return np.flatnonzero((best == gram) & (gram > 0))
 
 
 class Places:
     """Pieces of a block: the first and last start of the windows that have it as
-    their first piece, and the stretch that holds them."""
+    their first piece, and the stretch that holds them. ``sent``: with the names that
+    only the sorting of places needs."""
 
-    def __init__(self, block: Block) -> None:
+    def __init__(self, block: Block, sent: bool = False) -> None:
         data, offsets = block.data, block.offsets
         cuts = cuts_of(data, offsets)
         cuts = cuts[~np.isin(cuts, offsets)]  # not at a text's end
@@ -113,9 +133,11 @@ class Places:
         self.low = np.where(none, self.begin, self.low)
         reach = np.where(none, self.stop, self.high + WINDOW)
         self.high = np.where(none, self.low - 1, self.high)
-        self.pieces = range_names(data, self.begin, self.stop)
-        self.keys = range_names(data, self.low, reach, 2)
-        self.checks = range_names(data, self.low, reach, 3).astype(np.uint32)
+        sums = byte_sums(data, 2)
+        self.keys = names_of(sums, self.low, reach)
+        if sent:
+            self.pieces = names_of(sums, self.begin, self.stop)
+            self.checks = range_names(data, self.low, reach, 3).astype(np.uint32)
         self.first = np.searchsorted(self.text, np.arange(block.hi - block.lo + 1))
 
 
@@ -164,15 +186,17 @@ def _place_rows(ids, hashes, places: Places, n_buckets: int) -> Iterator[dict]:
 def _sort_places(group: pa.Table) -> pa.Table:
     """Sort the places of a bucket by piece and stretch, and compare neighbours."""
     is_mask = pc.is_valid(group["mask"])
-    masks, rows = group.filter(is_mask), group.filter(pc.invert(is_mask))
-    del group
+    masks = group.select(["ids", "hashes", "mask"]).filter(is_mask)
+    rows = group.select(["ids", "hashes", "counts"]).filter(pc.invert(is_mask))
     ids, hashes = M._flat(rows["ids"], np.int64), M._flat(rows["hashes"], np.int64)
     counts = M._flat(rows["counts"], np.int32)
-    pieces = M._flat(rows["pieces"], np.uint32)
-    keys = M._flat(rows["keys"], np.uint64)
-    checks = M._flat(rows["checks"], np.uint32)
-    several = M._flat(rows["several"], np.uint8)
     del rows
+    # Of the large columns no second copy is made: they are null where a mask is.
+    pieces = M.joined(group["pieces"], np.uint32)
+    keys = M.joined(group["keys"], np.uint64)
+    checks = M.joined(group["checks"], np.uint32)
+    several = M.joined(group["several"], np.uint8)
+    del group
     out = {
         "id": M._flat(masks["ids"], np.int64),
         "hash": M._flat(masks["hashes"], np.int64),
@@ -187,6 +211,7 @@ def _sort_places(group: pa.Table) -> pa.Table:
         by_stretch = M._groups(order, pieces, keys, checks)
         size = np.diff(np.append(by_stretch, len(order)))
         more = np.maximum.reduceat(several[order], by_stretch) > 0
+        del pieces, checks, several
         twice = np.repeat((size > 1) | more, size)
         first = np.zeros(len(order), bool)
         first[by_stretch] = True
@@ -217,21 +242,26 @@ def _sort_places(group: pa.Table) -> pa.Table:
 def _read_places(column: pa.Array, places: Places) -> np.ndarray:
     """Codes of a block's places. 0: the piece occurs nowhere else."""
     codes = np.zeros(len(places.keys), np.uint8)
-    for d, parts in enumerate(column.to_pylist()):
+    if not len(codes):
+        return codes
+    parts, whose = column.flatten(), pc.list_parent_indices(column).to_numpy()
+    masks, keys, got = (pc.struct_field(parts, c) for c in ("mask", "keys", "codes"))
+    is_mask = pc.is_valid(masks).to_numpy(zero_copy_only=False)
+    for d, mask in zip(whose[is_mask], masks.filter(pc.is_valid(masks)), strict=True):
         lo, hi = places.first[d], places.first[d + 1]
-        for part in parts or ():
-            if part["mask"] is not None:
-                bits = np.unpackbits(np.frombuffer(part["mask"], np.uint8))[: hi - lo]
-                codes[lo:hi] |= bits * np.uint8(_SETTLED)
-            else:
-                back = np.frombuffer(part["keys"], np.uint64)
-                got = np.frombuffer(part["codes"], np.uint8)
-                order = np.argsort(back)
-                mine = places.keys[lo:hi]
-                at = np.minimum(np.searchsorted(back[order], mine), len(back) - 1)
-                same = np.flatnonzero(back[order][at] == mine)
-                new = got[order][at[same]]
-                codes[lo:hi][same] |= new
+        bits = np.unpackbits(np.frombuffer(mask.as_buffer(), np.uint8))[: hi - lo]
+        codes[lo:hi] |= bits * np.uint8(_SETTLED)
+    if not is_mask.all():
+        whose = np.repeat(whose, pc.fill_null(pc.binary_length(got), 0).to_numpy())
+        keys, got = M.joined(keys, np.uint64), M.joined(got, np.uint8)
+        keys = M._own(keys, whose)
+        # Rows equal in id and text get back what each of them has found.
+        order = np.argsort(keys)
+        starts = M._groups(order, keys)
+        keys, got = keys[order][starts], np.bitwise_or.reduceat(got[order], starts)
+        mine = M._own(places.keys, places.text)
+        at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+        codes |= np.where(keys[at] == mine, got[at], np.uint8(0))
     return codes
 
 
@@ -249,7 +279,7 @@ def _ids(batch: pa.RecordBatch, block: Block) -> tuple[np.ndarray, np.ndarray]:
 def _first_rows(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[dict]:
     for batch in batches:
         for block in blocks(batch.column("text"), BLOCK_BYTES):
-            yield from _place_rows(*_ids(batch, block), Places(block), n_buckets)
+            yield from _place_rows(*_ids(batch, block), Places(block, sent=True), n_buckets)
 
 
 def _second_rows(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[dict]:
@@ -267,9 +297,9 @@ def _second_rows(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[
             lo = np.maximum(places.stop[single] - WINDOW + SPAN, 0)
             hi = places.begin[single] - MARGIN
             ok = hi >= lo
-            np.add.at(barred, lo[ok], 1)
-            np.add.at(barred, hi[ok] + 1, -1)
-            at = at[np.cumsum(barred)[at] == 0]
+            np.add.at(barred, lo[ok], _ONE)
+            np.add.at(barred, hi[ok] + 1, -_ONE)
+            at = at[np.cumsum(barred, dtype=np.int32)[at] == 0]
             text = np.searchsorted(block.offsets, at, "right") - 1
             yield from M.pack(
                 *_ids(batch, block),
@@ -282,19 +312,25 @@ def _second_rows(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[
             )
 
 
-def _repeated_windows(block: Block, places_column, flags_column) -> np.ndarray:
-    """Starts of the repeated windows of a block."""
+def _repeated_windows(
+    block: Block, places_column, flags_column
+) -> tuple[np.ndarray, np.ndarray]:
+    """First and last starts of the block's runs of repeated windows. Runs may overlap."""
     places = Places(block)
-    codes = _read_places(places_column, places)
-    settled = (codes & _SETTLED) > 0
-    starts = [_ranges(places.low[settled], places.high[settled])]
-    counts = np.maximum(np.diff(block.offsets) - WINDOW + 1, 0)
-    first = np.append(0, np.cumsum(counts))
-    if pc.any(pc.is_valid(flags_column)).as_py():
-        at = _ranges(block.offsets[:-1][counts > 0], (block.offsets[1:] - WINDOW)[counts > 0])
+    settled = (_read_places(places_column, places) & _SETTLED) > 0
+    settled &= places.high >= places.low
+    low, high = places.low[settled], places.high[settled]
+    # Only texts that got flags have their windows named.
+    has = pc.is_valid(flags_column).to_numpy(zero_copy_only=False)
+    counts = np.where(has, np.maximum(np.diff(block.offsets) - WINDOW + 1, 0), 0)
+    if counts.any():
+        first = np.append(0, np.cumsum(counts))
+        some = counts > 0
+        at = _ranges(block.offsets[:-1][some], (block.offsets[1:] - WINDOW)[some])
         keys = range_names(block.data, at, at + WINDOW, 4)
-        starts.append(at[M.read_flags(flags_column, keys, first, False)])
-    return np.concatenate(starts)
+        at = at[M.read_flags(flags_column, keys, first, False)]
+        low, high = np.concatenate([low, at]), np.concatenate([high, at])
+    return low, high
 
 
 def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,11 +338,11 @@ def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batch.column("text"), BLOCK_BYTES):
             n = block.hi - block.lo
             part = batch.slice(block.lo, n)
-            starts = _repeated_windows(block, part.column("places"), part.column("flags"))
+            low, high = _repeated_windows(block, part.column("places"), part.column("flags"))
             cover = np.zeros(len(block.data) + 1, np.int32)
-            np.add.at(cover, starts, 1)
-            np.add.at(cover, starts + WINDOW, -1)
-            gone = np.cumsum(cover)[:-1] > 0
+            np.add.at(cover, low, _ONE)
+            np.add.at(cover, high + WINDOW, -_ONE)
+            gone = np.cumsum(cover, dtype=np.int32)[:-1] > 0
             begins = gone.copy()
             begins[1:] &= ~gone[:-1]
             edges = block.offsets[:-1][block.offsets[:-1] < len(gone)]

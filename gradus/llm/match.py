@@ -198,25 +198,43 @@ def _flat(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
+def joined(column: pa.Array | pa.ChunkedArray, kind) -> np.ndarray:
+    """The numbers of all values of a binary column, one after another; null is none."""
+    if isinstance(column, pa.ChunkedArray):
+        parts = [joined(x, kind) for x in column.chunks]
+        return np.concatenate(parts) if parts else np.zeros(0, kind)
+    column = pc.drop_null(column)
+    _, at, held = column.buffers()
+    if not len(column) or held is None:
+        return np.zeros(0, kind)
+    wide = pa.types.is_large_binary(column.type)
+    at = np.frombuffer(at, np.int64 if wide else np.int32)
+    lo, hi = at[column.offset], at[column.offset + len(column)]
+    return np.frombuffer(held, np.uint8)[lo:hi].copy().view(kind)
+
+
 def _matcher(mode: str):
     def match(group: pa.Table) -> pa.Table:
         is_mask = pc.is_valid(group["mask"])
-        masks, rows = group.filter(is_mask), group.filter(pc.invert(is_mask))
-        del group
-        exact = bool(len(rows)) and rows["checks"][0].is_valid
-        # Keys without an owner last.
-        is_free = pc.is_null(rows["counts"])
-        rows, free = rows.filter(pc.invert(is_free)), rows.filter(is_free)
+        masks = group.select(["ids", "hashes", "mask"]).filter(is_mask)
+        # Of the large columns no second copy is made: they are null where a mask is.
+        # Keys without an owner come in any place.
+        is_owned = pc.is_valid(group["counts"])
+        rows = group.select(["ids", "hashes", "counts"]).filter(is_owned)
         ids = _flat(rows["ids"], np.int64)
         hashes = _flat(rows["hashes"], np.int64)
         counts = _flat(rows["counts"], np.int32)
-        rows = pa.concat_tables([rows, free])
-        del free
-        keys = _flat(rows["keys"], np.uint64 if exact else np.uint32)
-        checks = _flat(rows["checks"], np.uint32) if exact else None
         del rows
+        exact = group["checks"].null_count < len(group)
+        kind = np.uint64 if exact else np.uint32
+        sizes = pc.fill_null(pc.binary_length(group["keys"]), 0).to_numpy() // kind().itemsize
+        keys = joined(group["keys"], kind)
+        checks = joined(group["checks"], np.uint32) if exact else None
         owner = np.full(len(keys), len(ids), np.int32)
-        owner[: counts.sum()] = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+        owner[np.repeat(is_owned.to_numpy(), sizes)] = np.repeat(
+            np.arange(len(ids), dtype=np.int32), counts
+        )
+        del group, sizes
         out = {
             "id": _flat(masks["ids"], np.int64),
             "hash": _flat(masks["hashes"], np.int64),

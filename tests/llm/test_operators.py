@@ -23,7 +23,7 @@ from gradus.llm import (
     token_counts,
     url_filter,
 )
-from gradus.llm.blocks import mix
+from gradus.llm.blocks import Block, mix, range_names
 from gradus.llm.components import components
 
 SCHEMA = (
@@ -476,6 +476,44 @@ def test_removed_bytes(spark, docs, empty):
     assert byte_dedup.removed_bytes(empty).collect() == []
 
 
+def test_only_texts_with_flags_have_their_windows_named(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefgh ", k=k)).encode() for k in (5000, 900, 0, 4000)]
+    offsets = np.append(0, np.cumsum([len(t) for t in texts]))
+    block = Block(0, 4, np.frombuffer(b"".join(texts), np.uint8), offsets)
+    held = range_names(block.data, offsets[1:2] + 300, offsets[1:2] + 500, 4)
+    part = pa.struct([("keys", pa.binary()), ("mask", pa.binary())])
+    flags = pa.array(
+        [None, [{"keys": held.tobytes(), "mask": None}], None, None], pa.list_(part)
+    )
+    verdict = pa.struct([("keys", pa.binary()), ("codes", pa.binary()), ("mask", pa.binary())])
+    named = []
+
+    def counted(data, starts, ends, seed=0):
+        if seed == 4:
+            named.append(len(starts))
+        return range_names(data, starts, ends, seed)
+
+    monkeypatch.setattr(byte_dedup, "range_names", counted)
+    found = byte_dedup._repeated_windows(block, pa.nulls(4, pa.list_(verdict)), flags)
+    assert named == [900 - 199]
+    assert [x.tolist() for x in found] == [[5300], [5300]]
+
+
+def test_cuts_are_the_same_in_any_stretch(monkeypatch):
+    rng = random.Random(4)
+    data = np.frombuffer("".join(rng.choices("ab cd", k=6000)).encode(), np.uint8)
+    offsets = np.array([0, 0, 700, 730, 3000, 3000, 5990, 6000])
+    whole = byte_dedup.cuts_of(data, offsets)
+    assert len(whole) > 100
+    for size in (1, 47, 100, 1000):
+        monkeypatch.setattr(byte_dedup, "CACHED_BYTES", size)
+        assert byte_dedup.cuts_of(data, offsets).tolist() == whole.tolist()
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        alone = byte_dedup.cuts_of(data[a:b], np.array([0, b - a])) + a
+        assert [x for x in whole if a < x < b] == [x for x in alone if x < b]
+
+
 # --- op9 -------------------------------------------------------------------
 
 
