@@ -4,6 +4,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from gradus.functions import outline
 from gradus.functions.rewards import ACTIVE
 from gradus.operators.collect import (
     collect_increment,
@@ -247,3 +248,27 @@ def test_stream_queries_read_tables_of_many_files(spark, tmp_path):
         assert found and found == as_set(QUERIES[name](spark, str(one)))
         if name == "scored_stream":
             assert len(found) == len(rows)
+
+
+def test_collecting_by_slices_of_pages_gives_the_same(spark, monkeypatch):
+    """Slices that hold one page, several, or all of a task's."""
+    body = (
+        '<span class="h2">A - T</span><div id="task-statement"><span class="lang-en">'
+        '<div class="part"><section><h3>Problem Statement</h3><p>%s</p></section></div>'
+        "</span></div>"
+    )
+    row = '<table><tr><td><a href="/s/%d">x</a></td></tr></table>'
+    code = '<pre id="submission-code">int x%d;</pre>'
+    keys = "contest_id string, task_id string, html string"
+    tasks = [(f"abc{i}", f"abc{i}_a") for i in range(40)]
+    pages = [(*t, body % ("text " * i)) for i, t in enumerate(tasks)]
+    lists = [(*t, row % i) for i, t in enumerate(tasks)]
+    codes = [(c, str(i), code % i) for i, (c, _) in enumerate(tasks)]
+    frames = [spark.createDataFrame(x, keys).coalesce(1) for x in (pages, lists)]
+    frames.append(spark.createDataFrame(codes, "contest_id string, submission_id string, html string"))
+    nothing = spark.createDataFrame([], KEYED_PROBLEM)
+    found = []
+    for size in (1, 900, 1 << 20):
+        monkeypatch.setattr(outline, "SLICE_BYTES", size)
+        found.append(as_set(collect_increment(*frames, nothing)))
+    assert len(found[0]) == len(tasks) and found[0] == found[1] == found[2]
