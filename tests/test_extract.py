@@ -2,6 +2,7 @@
 
 import subprocess
 import sys
+import tracemalloc
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -357,3 +358,23 @@ def test_a_batch_of_pages_is_outlined_in_slices(spark, monkeypatch):
         assert (r.o and [e.tag for e in r.o.elements]) == (
             expected and [e["tag"] for e in expected["elements"]]
         )
+
+
+def test_python_objects_do_not_grow_with_the_pages_of_a_batch():
+    """What a worker holds beside a batch is one slice's outlines, however many pages
+    the batch has."""
+    part = '<div class="part"><section><h3>Constraints</h3><p>%s</p></section></div>'
+    page = part % ("word " * 600)
+
+    def peak(n):
+        pages = pa.array([page] * n)
+        tracemalloc.start()
+        try:
+            rows = sum(len(o) for o in outlines(pages))
+            return rows, tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    (few, low), (many, high) = peak(1_000), peak(4_000)
+    assert (few, many) == (1_000, 4_000)
+    assert high < 1.2 * low
