@@ -405,6 +405,39 @@ def test_markov_scores(spark):
     assert mean["fr"] > mean["de"]
 
 
+def test_urls_are_not_broadcast(spark, monkeypatch):
+    """Files say little about how large their rows are once exploded, so no plan may
+    bring rows to the driver for a join, however small the files look."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    stored = url_filter.stored
+    monkeypatch.setattr(url_filter, "stored", lambda df, name: stored(seen(df), name))
+    urls = [(i, f"http://{'ab'[i % 2]}.com/{'fd'[i % 2]}{'re'[i % 2]}/{i}") for i in range(40)]
+    pages = spark.createDataFrame([*urls, (40, None)], "page_id bigint, url string")
+    assert seen(url_filter.judge(pages)).count() == 41
+    assert sum("SortMergeJoin" in p for p in plans) >= 5
+    assert [p for p in plans if "Broadcast" in p] == []
+
+
+def test_scores_of_very_long_urls(spark):
+    """The characters of a URL don't each carry the whole of it: 210,000 characters would
+    be 44 GB. The same path again adds the same amount to the sum behind the score."""
+    taught = [(i, f"http://x.com/{'fr' if i % 2 else 'de'}/{'ab' if i % 2 else 'cb/a'}") for i in range(60)]
+    times = [1_000, 2_000, 70_000]
+    long = [(100 + n, "http://y.net/" + "ab/" * n) for n in times]
+    pages = spark.createDataFrame(taught + long, "page_id bigint, url string")
+    start = time.perf_counter()
+    got = {r.page_id - 100: r for r in url_filter.judge(pages).collect()}
+    assert time.perf_counter() - start < 40
+    assert len(got) == 63
+    a, b, c = (round(got[n].score * 1e6 * (len(got[n].host + got[n].path) + 1)) for n in times)
+    assert a != b and (c - b) * (2_000 - 1_000) == (b - a) * (70_000 - 2_000)
+
+
 # --- op7 -------------------------------------------------------------------
 
 
